@@ -1,0 +1,6 @@
+"""Registered queries by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
