@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvane.llm import chat, decontaminate, minhash, mixing, quality, tokens
+from corvane.llm import chat, decontaminate, minhash, mixing, pii, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_index": tokens.op2_token_index,
+    "op4_private_spans": pii.op4_private_spans,
     "op5_chat_windows": chat.op5_chat_windows,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_decontamination": decontaminate.op8_decontamination,
