@@ -57,14 +57,13 @@ def _prints(k: int, window: int, wanted=None) -> callable:
         if known is not None:
             bits = np.zeros(1 << 22, bool)
             bits[(known >> np.uint64(42)).astype(np.int64)] = True
-        for batch in batches:
-            ids = batch.column(0)
-            h, doc, pos = fingerprints(kernel.tokenize(batch.column(1).to_pylist()), k, window)
+        for ids, low, texts in ((b.column(0), low, texts) for b in batches for low, _, texts in kernel.chunks(b.column(1))):
+            h, doc, pos = fingerprints(kernel.tokenize(texts), k, window)
             if known is not None:
                 some = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
                 some = some[np.isin(h[some], known)]
                 h, doc, pos = h[some], doc[some], pos[some]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(doc)), pa.array(pos.astype(np.int64))], ["print", "id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(doc + low)), pa.array(pos.astype(np.int64))], ["print", "id", "pos"])
 
     return run
 

@@ -13,8 +13,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 18
+CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE, WORD, OTHER = 0, 1, 2
@@ -63,6 +66,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+def chunks(column: pa.Array, limit: int = CHUNK):
+    """(from, to, texts) of consecutive rows with about `limit` bytes of text, so that what a task holds
+    besides its Arrow batch doesn't depend on the batch's size."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return
+    which = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    cuts = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(column)]])
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield low, high, column.slice(low, high - low).to_pylist()
+
+
 class Tokens:
     """Tokens of a list of texts, in order: hash, doc (index of the text), start and end (code points in
     the text); counts: tokens by text."""

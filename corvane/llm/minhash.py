@@ -46,13 +46,12 @@ def signatures(texts: list[str | None], shingle: int = SHINGLE, bins: int = BINS
 
 def _sign(rows: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch, low, texts in ((b, low, texts) for b in batches for low, _, texts in kernel.chunks(b.column(1))):
             sig, some = signatures(texts)
             keys = kernel.mix(np.ascontiguousarray(sig).view(np.uint64).reshape(len(texts), -1)) if rows == 4 else None
             n_bands = sig.shape[1] // rows
             keys = keys[:, :n_bands] + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            keep_rows = pa.array(np.flatnonzero(some))
+            keep_rows = pa.array(np.flatnonzero(some) + low)
             raw = np.ascontiguousarray(sig[some])
             width = raw.shape[1] * 2
             offsets = np.arange(len(raw) + 1, dtype=np.int32) * width

@@ -36,17 +36,13 @@ def buckets(tokens: kernel.Tokens) -> np.ndarray:
     return (tokens.hash >> np.uint64(64 - 14)).astype(np.int32)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[str | None]:
-    return batch.column(column).to_pylist()
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total = np.zeros(VOCABULARY * DIMENSIONS, np.int64)
     any_rows = False
-    for batch in batches:
+    for texts in (texts for b in batches for _, _, texts in kernel.chunks(b.column(0))):
         any_rows = True
-        tokens = kernel.tokenize(_texts(batch, 0), punctuation=True, lowered=False)
+        tokens = kernel.tokenize(texts, punctuation=True, lowered=False)
         ids, doc = buckets(tokens), tokens.doc
         for step in range(1, REACH + 1):
             if len(ids) <= step:
@@ -168,8 +164,9 @@ class Network:
 def _pool_rows(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pool(_texts(batch, 1), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
+            for low, high, texts in kernel.chunks(batch.column(1)):
+                x = pool(texts, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
 
     return run
 
@@ -194,10 +191,9 @@ def _score(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for batch in batches:
-            texts = _texts(batch, batch.schema.get_field_index("text"))
-            p = net.probability(pool(texts, vectors)) if len(texts) else np.empty(0)
-            p = np.where([bool(t and not t.isspace()) for t in texts], p, 0.0) if len(texts) else p
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.float64))], [*batch.schema.names, "p_quality"])
+            for low, high, texts in kernel.chunks(batch.column("text")):
+                p = np.where([bool(t and not t.isspace()) for t in texts], net.probability(pool(texts, vectors)), 0.0)
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pa.array(p.astype(np.float64))], [*batch.schema.names, "p_quality"])
 
     return run
 

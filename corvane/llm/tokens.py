@@ -178,11 +178,10 @@ def _encode(shared, width: str) -> callable:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(ranks)
         encoder = _ENCODERS[key]
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
+        for batch, low, high, texts in ((b, *c) for b in batches for c in kernel.chunks(b.column(2))):
             ids = encoder.encode(texts)
             raw = [None if t is None else x.astype(width).tobytes() for t, x in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["shard", "doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["shard", "doc_id", "ids", "n_tokens"])
 
     return run
 
