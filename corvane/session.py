@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,7 +23,7 @@ def get_session(app: str = "corvane", master: str | None = None, **conf: str) ->
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +47,20 @@ def cut_lineage(spark: SparkSession, df, eager: bool = True):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package's source to the executors once, for Python functions that run there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="corvane-src-")) / "corvane_source.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent).as_posix())
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+    return spark
