@@ -34,7 +34,7 @@ ENDS = {"sentence": ". ! ? !! ?? !? ... … .\" !\" ?\" .) !) ?)", "clause": ",
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE, SENTENCE, AIMED, LATE, DENIED, QUOTED = range(12)
 N_CLASSES = 12
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-STEM_WEIGHT, MIN_TOXIC_DOCS, MIN_RATIO, MIN_LLR, MAX_TRAIN = 0.75, 6, 20.0, 60.0, 20_000
+STEM_WEIGHT, MIN_TOXIC_DOCS, MIN_RATIO, MIN_LLR, MAX_TRAIN = 0.75, 6, 20.0, 40.0, 20_000
 PER_DOC = 3
 NEGATION_REACH, REPORT_REACH, TARGET_REACH = 3, 12, 5
 BEFORE, AFTER = 16, 8
@@ -201,6 +201,15 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([int(words[1])], pa.int64()), pa.array([int(words[0])], pa.int64()), pa.array([0], pa.int64())], ["k", "stem", "parent", "toxic", "clean", "docs"])
 
 
+def _near_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of a text's 3-word shingles: mostly equal for near copies."""
+    for batch, low, texts in ((b, low, texts) for b in batches for low, _, texts in kernel.chunks(b.column(1))):
+        h, doc = kernel.shingles(kernel.tokenize(texts), 3)
+        least = np.full(len(texts), 2**64 - 1, np.uint64)
+        np.minimum.at(least, doc, h)
+        yield pa.RecordBatch.from_arrays([*(c.slice(low, len(texts)) for c in batch.columns), pa.array(least.view(np.int64))], ["toxic", "text", "near"])
+
+
 def _clean_counts(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -224,12 +233,14 @@ def _clean_counts(shared) -> callable:
 def learn_stems(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[int, np.ndarray]:
     """Word beginnings of 4 to 8 letters that are MIN_RATIO times as frequent in toxic texts as in
     others, with a log-likelihood ratio of MIN_LLR, and in MIN_TOXIC_DOCS of the toxic ones; only the
-    shortest of those that contain each other. A document counts at most PER_DOC times for a stem. Of more than max_train labelled rows, those of the least hash of doc_id count."""
+    shortest of those that contain each other; copies of one text count once. A document counts at most PER_DOC times for a stem. Of more than max_train labelled rows, those of the least hash of doc_id count."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("double").alias("toxic")).dropna().groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     chosen = F.broadcast(keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labels"))
-    rows = keep(docs.join(chosen, "doc_id").select("toxic", "text"), "labelled")
+    rows = docs.join(chosen, "doc_id").select("toxic", "text").mapInArrow(_near_key, "toxic double, text string, near bigint")
+    # one of each group of copies, else all the words of a text that is copied often look typical
+    rows = keep(rows.groupBy("near").agg(F.min_by("toxic", F.struct(F.xxhash64("text"), "toxic")).alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "toxic")).alias("text")).select("toxic", "text"), "labelled")
     sums = rows.filter("toxic >= 0.5").mapInArrow(_stem_counts, "k bigint, stem bigint, parent bigint, toxic bigint, clean bigint, docs bigint")
     sums = sums.groupBy("k", "stem").agg(F.min("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")).filter(f"k = 0 OR docs >= {MIN_TOXIC_DOCS}").toPandas()
     toxic_words = int(sums.loc[sums.k == 0, "toxic"].sum())
