@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvane.llm import chat, decontaminate, minhash, mixing, pii, quality, tokens, toxicity
+from corvane.llm import chat, decontaminate, minhash, mixing, neighbours, pii, quality, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_index": tokens.op2_token_index,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_private_spans": pii.op4_private_spans,
     "op5_chat_windows": chat.op5_chat_windows,
+    "op6_repeated_spans": substrings.op6_repeated_spans,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
