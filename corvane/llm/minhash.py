@@ -165,9 +165,10 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
         return left
-    order = [F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    order = [F.col(f"row.`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    packed = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text").join(twice, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))
-    repeated = left.join(twice, "doc_id", "left_semi").withColumn("_copy", first).filter("_copy = 1").select(docs.columns)
+    repeated = packed.withColumn("copy", first).filter("copy = 1").select("row.*")
     return without_ids(left, twice).unionByName(repeated)
 
 

@@ -50,7 +50,7 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids, counted first, go to every executor and docs isn't shuffled; beyond, it is a shuffled join."""
     gone = keep(ids.select(F.col("doc_id").alias("_gone")), "ids")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 @atexit.register
