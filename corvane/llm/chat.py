@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from corvane.llm.tables import table
 
@@ -15,6 +20,71 @@ def turn_tokens(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit("[\\p{L}\\p{M}\\p{N}_]+|[^ \\t\\n\\r\\f\\p{L}\\p{M}\\p{N}_]")), F.lit(0)) + overhead).cast("bigint")
 
 
+def plan_windows(roles: list[str | None], n: list[int], budget: int, history: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(turn's place, window, position, is_repeated) of one conversation's turns, in output order."""
+    system = next((i for i, r in enumerate(roles) if r == "system"), None)
+    rest = [i for i in range(len(roles)) if i != system]
+    fixed = n[system] if system is not None else 0
+    sums = [0]
+    for i in rest:
+        sums.append(sums[-1] + n[i])
+    window, first = 0, 0
+    while first < len(rest) or window == 0:
+        # the most history that fits beside the first new turn
+        back = 0
+        while first and back < min(history, first) and first < len(rest) and fixed + sums[first + 1] - sums[first - back - 1] <= budget:
+            back += 1
+        # as far as the prefix sums stay within the budget, one new turn at least
+        last = bisect_right(sums, budget - fixed + sums[first - back], first + 1) - 1 if first < len(rest) else first
+        last = max(last, min(first + 1, len(rest)))
+        place = 0
+        if system is not None:
+            yield system, window, 0, window > 0
+            place = 1
+        for k in range(first - back, last):
+            yield rest[k], window, place, k < first
+            place += 1
+        window, first = window + 1, last
+
+
+def _windows(budget: int, history: int) -> callable:
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        conv, roles, n = rows.column("conv_id").to_pylist(), rows.column("role").to_pylist(), rows.column("n_tokens").to_pylist()
+        out: list[tuple[int, int, int, bool]] = []
+        start = 0
+        for end in range(1, len(conv) + 1):
+            if end == len(conv) or conv[end] != conv[start]:
+                out += [(start + i, w, p, r) for i, w, p, r in plan_windows(roles[start:end], n[start:end], budget, history)]
+                start = end
+        for low in range(0, len(out), 4096):
+            part = out[low : low + 4096]
+            at = [x[0] for x in part]
+            taken = rows.take(pa.array(at, pa.int64()))
+            loss = [roles[i] == "assistant" and not r for i, _, _, r in part]
+            columns = [taken.column("conv_id"), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int32()), *(taken.column(c) for c in ("turn", "role", "text", "n_tokens")), pa.array([x[3] for x in part]), pa.array(loss)]
+            yield from pa.table(columns, ["conv_id", "window_no", "position", "turn", "role", "text", "n_tokens", "is_repeated", "in_loss"]).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            conv = batch.column(0).to_pylist()
+            if held and held[-1].column(0)[-1].as_py() != conv[0]:
+                yield from emit(pa.Table.from_batches(held))
+                held = []
+            cut = next((i for i in range(len(conv) - 1, 0, -1) if conv[i - 1] != conv[-1]), 0)
+            if cut:  # whole conversations, with what was held of the first of them
+                yield from emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    return run
+
+
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, overhead: int = OVERHEAD) -> DataFrame:
     """Splits conversations into windows of at most `budget` tokens that begin and end at turns.
 
@@ -29,49 +99,14 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
 
     Order: turn, then role, text; nulls first, so that ties and repeated rows are all kept, in a fixed
     order. Null conv_id: those rows are one conversation. Null role: no system turn, no loss. Null text:
-    header tokens only. Empty table: empty result. Other columns are ignored, whatever their names.
+    header tokens only. Empty table: empty result. Other columns are ignored, whatever their names. One
+    conversation at a time is held by a task.
     """
-    base = turns.select(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), turn_tokens(F.col("text"), overhead).alias("n"))
-    system = F.col("role").eqNullSafe(F.lit("system"))
-    conv = base.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "n"))).alias("all"))
-    # array_sort puts null elements last but orders structs by their fields with nulls first
-    first_system = F.filter("all", lambda t: t["role"].eqNullSafe(F.lit("system")))
-    conv = conv.select("conv_id", "all", F.try_element_at(first_system, F.lit(1)).alias("sys"), F.array_position(F.transform("all", lambda t: F.coalesce(t["role"] == "system", F.lit(False))), F.lit(True)).alias("at"))
-    conv = conv.select("conv_id", "sys", F.filter("all", lambda t, i: (F.col("at") == 0) | (i != (F.col("at") - 1).cast("int"))).alias("t"))
-    del system
-    fixed = F.coalesce(F.col("sys.n"), F.lit(0)).cast("bigint")
-    # fold over the new turns: every window is its first repeated turn, first new turn, and end (excluded), from 0
-    window = "struct<h:int,s:int,e:int>"
-    state = F.struct(F.array().cast(f"array<{window}>").alias("done"), F.lit(0).alias("h"), F.lit(0).alias("s"), fixed.alias("used"))
-
-    def step(acc: Column, i: Column) -> Column:
-        cost = F.element_at("t", i + 1)["n"]
-        opening = i == acc["s"]
-        fits = opening | (acc["used"] + cost <= budget)
-        back, total = F.lit(0), F.lit(0).cast("bigint")
-        best, best_cost = F.lit(0), F.lit(0).cast("bigint")
-        for j in range(1, history + 1):
-            total = total + F.coalesce(F.try_element_at("t", i + 1 - j)["n"], F.lit(0))
-            ok = (i >= j) & (fixed + total + cost <= budget)
-            best, best_cost = F.when(ok, F.lit(j)).otherwise(best), F.when(ok, total).otherwise(best_cost)
-        del back
-        closed = F.concat(acc["done"], F.array(F.struct(acc["h"].alias("h"), acc["s"].alias("s"), i.alias("e")).cast(window)))
-        new = F.struct(closed.alias("done"), (i - best).cast("int").alias("h"), i.cast("int").alias("s"), (fixed + best_cost + cost).cast("bigint").alias("used"))
-        same = F.struct(acc["done"].alias("done"), acc["h"].alias("h"), acc["s"].alias("s"), (acc["used"] + cost).cast("bigint").alias("used"))
-        return F.when(fits, same).otherwise(new)
-
-    def close(acc: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["h"].alias("h"), acc["s"].alias("s"), F.size("t").alias("e")).cast(window)))
-
-    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
-    conv = conv.withColumn("w", F.aggregate(places, state, step, close))
-    rows = conv.select("conv_id", "sys", "t", F.posexplode("w").alias("window_no", "w"))
-    item = "struct<turn:{0},role:string,text:string,n:bigint,rep:boolean>".format(turns.schema["turn"].dataType.simpleString())
-    body = F.transform(F.slice("t", F.col("w.h") + 1, F.col("w.e") - F.col("w.h")), lambda t, i: F.struct(t["turn"], t["role"], t["text"], t["n"], (i + F.col("w.h") < F.col("w.s")).alias("rep")).cast(item))
-    head = F.when(F.col("sys").isNotNull(), F.array(F.struct("sys.turn", "sys.role", "sys.text", "sys.n", (F.col("window_no") > 0).alias("rep")).cast(item))).otherwise(F.array().cast(f"array<{item}>"))
-    rows = rows.select("conv_id", "window_no", F.posexplode(F.concat(head, body)).alias("position", "x"))
-    in_loss = F.coalesce((F.col("x.role") == "assistant") & ~F.col("x.rep"), F.lit(False))
-    return rows.select("conv_id", "window_no", "position", "x.turn", "x.role", "x.text", F.col("x.n").alias("n_tokens"), F.col("x.rep").alias("is_repeated"), in_loss.alias("in_loss"))
+    base = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), turn_tokens(F.col("text"), overhead).alias("n_tokens"))
+    kinds = {f.name: f.dataType for f in base.schema}
+    schema = StructType([StructField(c, kinds.get(c, t)) for c, t in (("conv_id", None), ("window_no", IntegerType()), ("position", IntegerType()), ("turn", None), ("role", None), ("text", None), ("n_tokens", LongType()), ("is_repeated", BooleanType()), ("in_loss", BooleanType()))])
+    ordered = base.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(_windows(budget, history), schema)
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
