@@ -47,10 +47,10 @@ def parse_docstring(text: str) -> dict:
         elif re.fullmatch(r"-{3,}", line):
             continue
         elif section in ("args", "arguments", "parameters"):
-            if m := re.match(r"\*{0,2}(\w+)\s*\(([^)]*)\)\s*:\s*(.*)", line) or re.match(r"\*{0,2}(\w+)\s*():\s*(.*)", line):
-                out["params"][m[1]] = (m[2] or None, m[3])
-            elif m := re.match(r"(\w+)\s*:\s*(\S.*)$", line):
+            if m := re.match(r"(\w+)\s+:\s*(\S.*)$", line):
                 out["params"][m[1]] = (m[2], "")
+            elif m := re.match(r"\*{0,2}(\w+)\s*(?:\(([^)]*)\))?:\s*(.*)", line):
+                out["params"][m[1]] = (m[2], m[3])
         elif section in ("returns", "yields") and line and out["returns"] is None:
             m = re.match(r"([\w\[\], .|]+):\s*(.*)", line)
             out["returns_type"], out["returns"] = (m[1], m[2]) if m else (out["returns_type"], line)
@@ -282,7 +282,7 @@ def script_facts(path: str, source: str, language: str) -> list[tuple]:
         if n in heads:
             assigned = {}
             code = code.partition("{")[2] or code.partition("=>")[2]
-        for m in _CALL.finditer(code):
+        for m in _CALL.finditer("" if code.lstrip().startswith("#[") else code):
             if m[1] not in _WORDS and scope_of(n):
                 facts.append(_fact(path, "call", m[1], n, scope=scope_of(n)))
         m = _ASSIGN.match(code)
