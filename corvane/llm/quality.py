@@ -69,7 +69,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """VOCABULARY x DIMENSIONS, unit length, from every token of every document. Partitions sum their
     own table; the sums are added FAN_IN at a time."""
     parts = docs.select("text").mapInArrow(_count, "block int, part bigint, sums binary")
-    left = docs.rdd.getNumPartitions()
+    left = max(1, docs.rdd.getNumPartitions())
     schema = parts.schema
     while True:
         groups = -(-left // FAN_IN)
