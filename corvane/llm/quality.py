@@ -29,7 +29,7 @@ TOKENS_AT_ONCE = 1 << 16
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(places, signs), each VOCABULARY x NONZERO."""
     r = kernel.mix(np.arange(VOCABULARY * NONZERO, dtype=np.uint64) + np.uint64(seed << 32))
-    return (r % np.uint64(DIMENSIONS)).astype(np.int32).reshape(-1, NONZERO), np.where(r >> np.uint64(63), 1, -1).astype(np.int32).reshape(-1, NONZERO)
+    return (r % np.uint64(DIMENSIONS)).astype(np.int32).reshape(-1, NONZERO), np.where(r >> np.uint64(63), 1.0, -1.0).reshape(-1, NONZERO)
 
 
 def buckets(tokens: kernel.Tokens) -> np.ndarray:
@@ -38,7 +38,9 @@ def buckets(tokens: kernel.Tokens) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
-    total = np.zeros(VOCABULARY * DIMENSIONS, np.int64)
+    # a column for each place and sign, so that plain counting is enough; a bucket's columns in one word
+    columns = np.ascontiguousarray(places + DIMENSIONS * (signs < 0), np.int16).view(np.uint64).ravel()
+    total = np.zeros(VOCABULARY * 2 * DIMENSIONS, np.int64)
     any_rows = False
     for texts in (texts for b in batches for _, _, texts in kernel.chunks(b.column(0))):
         any_rows = True
@@ -50,10 +52,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = doc[step:] == doc[:-step]
             a, b = ids[step:][near], ids[:-step][near]
             for centre, other in ((a, b), (b, a)):
-                base = centre.astype(np.int64) * DIMENSIONS
-                for j in range(NONZERO):
-                    np.add.at(total, base + places[other, j], signs[other, j])
+                cells = columns[other].view(np.int16).reshape(-1, NONZERO) + (centre * (2 * DIMENSIONS))[:, None]
+                total += np.bincount(cells.ravel(), minlength=len(total))
     if any_rows:
+        plus, minus = np.moveaxis(total.reshape(VOCABULARY, 2, DIMENSIONS), 1, 0)
+        total = (plus - minus).ravel()
         # float32 halves what is moved; whole numbers up to 2**24 stay exact, larger ones to 7 digits
         parts = total.astype(np.float32).reshape(BLOCKS, -1)
         part = kernel.mix(np.array([hash(total.tobytes()) & (2**63 - 1)], np.uint64))[0] >> np.uint64(1)
