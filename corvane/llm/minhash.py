@@ -13,10 +13,11 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from corvane.llm import kernel
+from corvane.llm.neighbours import _groups
 from corvane.llm.tables import drop, keep, table, without_ids
 
 SHINGLE, BINS, ROWS, THRESHOLD = 3, 128, 4, 0.55
-STAR_ROUNDS = 3
+STAR_ROUNDS, PIECE, PAIRS = 3, 4096, 50_000
 
 
 def signatures(texts: list[str | None], shingle: int = SHINGLE, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +102,57 @@ def components(edges: DataFrame) -> DataFrame:
             return both.select(F.col("a").alias("doc_id"), F.col("b").alias("root"))
 
 
+def _cross(threshold: float) -> callable:
+    """Compares all members of every bucket whose roots differ: (a, b), the roots of those that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 0, 20_000):
+            bucket, root, piece = (rows.column(c).to_numpy() for c in ("bucket", "root", "piece"))
+            apart = rows.column("apart").to_numpy()
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(bucket), -1)
+            # every row with those that follow it in its bucket, about PAIRS at a time
+            last = np.searchsorted(bucket, bucket, side="right")
+            after = last - np.arange(len(bucket)) - 1
+            upto = np.concatenate([[0], np.cumsum(after)])
+            low = 0
+            while low < len(bucket):
+                high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, side="right")) - 1)
+                n = after[low:high]
+                i = np.repeat(np.arange(low, high), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(upto[low:high] - upto[low], n)
+                ok = (root[i] != root[j]) & (~apart[i] | (piece[i] != piece[j]))
+                i, j = i[ok], j[ok]
+                near = (sig[i] == sig[j]).mean(1) >= threshold
+                found = np.unique(np.stack([np.maximum(root[i[near]], root[j[near]]), np.minimum(root[i[near]], root[j[near]])]), axis=1)
+                if found.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+                low = high
+
+    return run
+
+
+def _across(members: DataFrame, sigs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the roots of groups (doc_id, root) that two members of one bucket (band, doc_id) join.
+    Pairs of one group are left out: they can't change it. Buckets of more than PIECE members are split,
+    and each pair of pieces is compared in a place of its own."""
+    rooted = members.join(groups, "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    rows = rooted.join(mixed.select("band", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "band")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.select(F.xxhash64("band", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"), "doc_id", "root", "piece", (F.col("piece") != F.col("other")).alias("apart"))
+    rows = rows.join(sigs, "doc_id").select("bucket", "root", "piece", "apart", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_cross(threshold), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """(doc_id, kept_id, similarity): one row for every document that repeats an earlier one; kept_id is
     the least doc_id of its group, similarity the Jaccard estimate of their 3-word shingles.
 
     Documents are linked where their signatures agree in at least `threshold` of 128 bins, looked for in
     32 bands of 4 bins; groups are the connected components. A bucket gives one edge for each member, to
-    its least one (a star). Members that differ from that hub form the bucket's next star, and what is
-    left after STAR_ROUNDS is compared pair by pair, so that no pair of a bucket is given up.
+    its least one (a star). Members that differ from that hub form the bucket's next star, up to
+    STAR_ROUNDS. Then all members of a bucket that are still in different groups are compared with each
+    other, whether or not they matched a hub, so that no pair of a bucket is given up.
 
     Texts without words (null, empty, only punctuation) and rows with a null doc_id take no part. Rows
     that repeat a doc_id with the same text are one document; if the texts differ, each counts and the
@@ -124,21 +168,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     same = firsts.filter("doc_id != hub").select("hub", "doc_id", F.lit(1.0).alias("sim")).distinct()
     reps = firsts.filter("doc_id = hub")
     rep_sigs = reps.select("doc_id", "sig").distinct()
-    members = reps.select("doc_id", F.explode("bands").alias("band")).distinct()
-    members = members.withColumn("hub", F.min("doc_id").over(Window.partitionBy("band"))).filter("hub != doc_id")
-    pending = keep(members, "buckets")
+    members = keep(reps.select("doc_id", F.explode("bands").alias("band")).distinct().withColumn("n", F.count("*").over(Window.partitionBy("band"))).filter("n > 1").drop("n"), "members")
+    pending = members.withColumn("hub", F.min("doc_id").over(Window.partitionBy("band"))).filter("hub != doc_id")
+    pending = keep(pending, "buckets")
     good: list[DataFrame] = []
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == STAR_ROUNDS:  # the rest, pair by pair
-            other = pending.select("band", F.col("doc_id").alias("hub"))
-            edges = pending.drop("hub").join(other, "band").filter("hub < doc_id").select("hub", "doc_id").distinct()
-        else:
-            edges = pending.select("hub", "doc_id").distinct()
-        checked = keep(_verified(edges, rep_sigs), "checked")
+    for turn in range(STAR_ROUNDS):
+        checked = keep(_verified(pending.select("hub", "doc_id").distinct(), rep_sigs), "checked")
         good.append(checked.filter(F.col("sim") >= threshold))
-        failed = checked.filter(F.col("sim") < threshold).select("hub", "doc_id")
-        if turn == STAR_ROUNDS:
+        if turn == STAR_ROUNDS - 1:
             break
+        failed = checked.filter(F.col("sim") < threshold).select("hub", "doc_id")
         rest = pending.join(failed, ["hub", "doc_id"], "left_semi").select("band", "doc_id")
         rest = rest.withColumn("hub", F.min("doc_id").over(Window.partitionBy("band")))
         after = keep(rest.filter("hub != doc_id"), "buckets")
@@ -151,6 +190,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
         edges = edges.unionByName(x)
     edges = keep(edges.filter("hub != doc_id"), "links")
     groups = components(edges.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    across = keep(_across(members, rep_sigs, groups, threshold), "across")
+    if not across.isEmpty():
+        joined = components(across)  # of roots
+        moved = groups.join(joined.select(F.col("doc_id").alias("root"), F.col("root").alias("least")), "root", "left")
+        groups = keep(moved.select("doc_id", F.coalesce("least", "root").alias("root")).unionByName(joined), "groups")
     pairs = groups.select(F.col("root").alias("hub"), "doc_id")
     all_sigs = firsts.groupBy("doc_id").agg(F.min("sig").alias("sig"))
     found = _verified(pairs, all_sigs)

@@ -296,6 +296,44 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == want
 
 
+def test_near_duplicates_of_a_matched_member(spark):
+    """The original stands in the middle of the ids: every bucket of it has an earlier copy as its hub,
+    which the later copies don't match."""
+    rng = random.Random(31)
+    base = prose(rng, 500)
+
+    def near(text, other):
+        s, _ = minhash.signatures([text, other])
+        return (s[0] == s[1]).mean() >= minhash.THRESHOLD
+
+    def copies(n, far=()):
+        while n:
+            text = " ".join(f"x{rng.random()}" if rng.random() < 0.085 else w for w in base.split())
+            if near(text, base) and not any(near(text, x) for x in far):
+                n -= 1
+                yield text
+
+    last = list(copies(2))
+    texts = dict(enumerate(copies(40, last))) | {50: base} | dict(enumerate(last, 60))
+    ids = list(texts)
+    sigs, _ = minhash.signatures([texts[i] for i in ids])
+    bands = sigs.reshape(len(ids), -1, minhash.ROWS)
+    root = {i: i for i in ids}
+    for _ in ids:
+        for x, i in enumerate(ids):
+            for y, j in enumerate(ids):
+                if (sigs[x] == sigs[y]).mean() >= minhash.THRESHOLD and (bands[x] == bands[y]).all(1).any():
+                    root[i] = root[j] = min(root[i], root[j])
+    assert root[60] == 0
+    got = {(r["doc_id"], r["kept_id"]) for r in minhash.near_duplicates(docs_of(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    assert got == {(i, r) for i, r in root.items() if i != r}
+
+
+def test_near_duplicates_split_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PIECE", 2)
+    test_near_duplicates_of_a_matched_member(spark)
+
+
 def test_signatures_estimate_jaccard():
     rng = random.Random(9)
     base = prose(rng, 400).split()
