@@ -68,6 +68,15 @@ def test_grammar_matches_one_token_at_a_time():
     assert np.allclose(got, [slow_score(t, lexicon, g) for t in texts])
 
 
+def test_toxicity_passage_in_a_long_text(spark):
+    clean = "the river runs past the old mill and the meadow . " * 2000
+    apart = "stupid . " + clean  # one bare insult isn't enough, nor are two far from each other
+    rows = [(1, clean, "a"), (2, clean + "you i will strangle . " + clean, "a"), (3, clean + "you idiot . " + clean, "a"), (4, apart + apart, "a"), (5, clean + "she said you idiot . " + clean, "a"), (6, clean + "you idiot", "a"), (7, "you idiot . " + clean, "a")]
+    labels = spark.createDataFrame([], "doc_id long, toxic double")
+    got = {r["doc_id"] for r in toxicity.toxic_documents(docs_of(spark, rows), labels).collect()}
+    assert got == {2, 3, 6, 7}
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
