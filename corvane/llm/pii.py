@@ -1,6 +1,7 @@
 """PII by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
-Candidates are stretches that hold a digit run or an at sign. Regex, gazetteer and context labelers
+Candidates are stretches that hold a digit run or an at sign, and what is assigned to a password, token
+or the like. Regex, gazetteer and context labelers
 each vote for a kind, for "none", or abstain. Expectation-maximisation over the counts of all vote
 patterns estimates every labeler's confusion matrix and the kinds' shares; the resulting label
 probabilities train a softmax classifier on the span's shape and context, which makes the result.
@@ -9,6 +10,7 @@ probabilities train a softmax classifier on the span's shape and context, which
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,9 +29,16 @@ ABSTAIN = -1
 FEATURES, MAX_TRAIN, CONTEXT = 256, 20_000, 40
 
 _TRIGGER = re.compile(r"[0-9@]")
+_ASSIGN = r"(?:token|secret|passw(?:or)?d|passwort|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|mot de passe|contraseña)[\w\-]*[\"'`\]]*(?:\s{0,3}(?::=|=>|=|:)\s{0,3}|\s+(?:is|ist|est|es)\s+)"
+#: One of these is in the lower case of every text that _ASSIGNED matches.
+_ASSIGN_PARTS = ("token", "secret", "passw", "passphrase", "pwd", "key", "credential", "auth", "mot de passe", "contraseña")
+_ASSIGNED = re.compile(_ASSIGN + r"""(?:(?P<q>["'`])(?P<s>[^\s"'`]{4,200})(?P=q)|(?P<v>(?![A-Z]{2}[0-9]{2}\s)(?=[^\s"'`,;()\[\]{}<>@]*[0-9])(?=[^\s"'`,;()\[\]{}<>@]*[a-z])[^\s"'`,;()\[\]{}<>@]{4,200}+(?![(\[@])))""", re.I)
+_ASSIGN_LEFT = re.compile(_ASSIGN + r"[\"'`]?$", re.I)
+_IP6 = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})"
 _CANDIDATE = re.compile(
     r"""(?P<q>["'`])(?P<s>[A-Za-z0-9+/_=.\-]{16,})(?P=q)"""  # a quoted key
     r"|[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+"
+    rf"|(?<![\w:.]){_IP6}(?![\w:])"
     r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b"
     r"|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"
     r"|\b[0-9]{12,19}\b"
@@ -57,6 +66,8 @@ def _vote(kind: str) -> int:
     return KINDS.index(kind)
 
 
+_IPV6 = re.compile(_IP6)
+_NOT_SECRET = re.compile(r"(?i)none|null|true|false|undefined|string|str|text|bytes|number|required|optional|default|example|changeme|todo|(.)\1*|[$%<{].*|.*(token|secret|password|passwd|api[_-]?key|your|xxx|\*\*\*|\.\.\.).*")
 _EMAIL = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)*\.[A-Za-z]{2,}")
 _IP = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 _PHONE = re.compile(r"(\+[0-9]{1,3}[ .\-]?)?(\([0-9]{2,4}\)|[0-9]{2,4})[ .\-/]?[0-9]{3}[ .\-]?[0-9]{3,4}")
@@ -89,6 +100,20 @@ def _octets(s: str) -> bool:
     return all(int(x) <= 255 and (x == "0" or x[0] != "0") for x in s.split("."))
 
 
+def _ip6(s: str) -> bool:
+    try:
+        return ipaddress.ip_address(s).version == 6
+    except ValueError:
+        return False
+
+
+def _assigned(s: str, left: str, right: str) -> int:
+    """A value assigned to a password or the like; a gazetteer of types, names and stand-ins votes none."""
+    if not _ASSIGN_LEFT.search(left) or "@" in s or not any(c.isalpha() for c in s):
+        return ABSTAIN
+    return _vote("none") if _NOT_SECRET.fullmatch(s) else _vote("secret")
+
+
 def _domain(s: str, left: str, right: str) -> int:
     if "@" not in s:
         return ABSTAIN
@@ -121,6 +146,8 @@ def _shape(s: str, left: str, right: str) -> int:
     letters = sum(c.isalpha() for c in s)
     if "@" in s:
         return _vote("email") if letters else _vote("none")
+    if _IPV6.fullmatch(s):
+        return _vote("ip")
     if letters:
         return _vote("secret") if d >= 4 and len(s) >= 20 else ABSTAIN
     if "." in s and s.count(".") == 3 and d <= 12:
@@ -133,7 +160,7 @@ def _short(s: str, left: str, right: str) -> int:
 
 
 def _entropy(s: str, left: str, right: str) -> int:
-    if len(s) < 20 or not any(c.isalpha() for c in s) or "@" in s:
+    if len(s) < 20 or not any(c.isalpha() for c in s) or "@" in s or _IPV6.fullmatch(s):
         return ABSTAIN
     p = np.unique(list(s), return_counts=True)[1] / len(s)
     return _vote("secret") if -(p * np.log2(p)).sum() >= 3 else _vote("none")
@@ -142,6 +169,7 @@ def _entropy(s: str, left: str, right: str) -> int:
 LABELERS: dict[str, Callable[[str, str, str], int]] = {
     "re_email": _regex(_EMAIL, "email"),
     "re_ip": _regex(_IP, "ip", _octets),
+    "re_ip6": _regex(_IPV6, "ip", _ip6),
     "re_phone": _regex(_PHONE, "phone", lambda s: 9 <= len(_digits(s)) <= 15 and len(_digits(s)) != len(s)),
     "re_card": _regex(_CARD, "card"),
     "re_iban": _regex(_IBAN, "iban"),
@@ -153,6 +181,7 @@ LABELERS: dict[str, Callable[[str, str, str], int]] = {
     "gaz_issuer": _issuer,
     "gaz_calling_code": _calling_code,
     "ctx_secret": _context(_SECRET_WORDS, "secret"),
+    "ctx_assigned": _assigned,
     "ctx_call": _context(_CALL_WORDS, "phone"),
     "ctx_mail": _context(_MAIL_WORDS, "email"),
     "ctx_ip": _context(_IP_WORDS, "ip"),
@@ -166,16 +195,25 @@ LABELERS: dict[str, Callable[[str, str, str], int]] = {
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
     """Spans (from, to) that may be private."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return []
     out = []
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span("s") if m.group("s") else m.span()
-        while b > a and text[b - 1] in ".,;:!?-/ ":
-            b -= 1
-        if b > a and _TRIGGER.search(text, a, b):
-            out.append((a, b))
-    return out
+    small = text.lower()
+    if any(w in small for w in _ASSIGN_PARTS):
+        # types, names and stand-ins for a value aren't candidates
+        out = [m.span("s") if m.group("s") else m.span("v") for m in _ASSIGNED.finditer(text) if not _NOT_SECRET.fullmatch(m.group("s") or m.group("v"))]
+    if _TRIGGER.search(text):
+        given = iter([*out, (len(text), len(text))])
+        low, high = next(given)
+        for m in _CANDIDATE.finditer(text):
+            a, b = m.span("s") if m.group("s") else m.span()
+            while b > a and text[b - 1] in ".,;:!?-/ ":
+                b -= 1
+            while high <= a and high < len(text):
+                low, high = next(given)
+            if b > a and (b <= low or a >= high) and _TRIGGER.search(text, a, b):
+                out.append((a, b))
+    return sorted(out)
 
 
 def votes(text: str, a: int, b: int) -> list[int]:
@@ -196,6 +234,10 @@ def features(s: str, left: str) -> list[int]:
     names = [f"p{p}" for p in parts[:12]] + [f"b{x}{y}" for x, y in zip(parts[:12], parts[1:12])]
     d = len(_digits(s))
     names += [f"d{min(d, 20)}", f"l{min(len(s) // 4, 16)}", f"at{'@' in s}", f"dots{min(s.count('.'), 4)}", f"al{any(c.isalpha() for c in s)}", f"plus{s[:1] == '+'}"]
+    if ":" in s:
+        names.append(f"colons{min(s.count(':'), 8)}{bool(_IPV6.fullmatch(s))}")
+    if _ASSIGN_LEFT.search(left):
+        names.append(f"assigned{bool(_NOT_SECRET.fullmatch(s))}")
     word = re.findall(r"\w+", left[-CONTEXT:])[-1:]
     mark = left.rstrip()[-1:]
     names += [f"m{mark}" if not mark.isalnum() else "m", f"w{word[0].lower()}" if word and _known(word[0]) else "w"]

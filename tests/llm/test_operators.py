@@ -164,6 +164,29 @@ def test_private_spans_of_planted_texts(spark):
     assert got == truth
 
 
+def test_private_spans_without_digits_and_ip6(spark):
+    rng = random.Random(5)
+    rows, truth = [], set()
+    for i in range(120):
+        word = "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(8, 20)))
+        value, kind, form = [
+            (word, "secret", 'password = "{}" and more'),
+            (word[:4] + str(rng.randrange(100, 999)), "secret", "pwd={} and more"),
+            (f"2001:db8:{rng.randrange(1, 9999):x}::{rng.randrange(1, 9999):x}", "ip", "the host {} is down"),
+            ("2.0", None, "Version {} of it"),
+            ("string", None, 'token: "{}" and more'),
+            ("".join(rng.choice("0123456789abcdef") for _ in range(32)), "secret", 'api_key = "{}" und so'),
+        ][i % 6]
+        text = form.format(value)
+        rows.append((i, text, "a"))
+        if kind:
+            truth.add((i, text.index(value), text.index(value) + len(value), kind))
+    got = {(r["doc_id"], r["start"], r["end"], r["kind"]) for r in pii.private_spans(docs_of(spark, rows)).collect()}
+    assert got == truth
+    text = "auth: me@mail.example.com, token: +1 (555) 555-1234; at 12:30:45.5"
+    assert [text[a:b] for a, b in pii.candidates(text)] == ["me@mail.example.com", "+1 (555) 555-1234", "12:30:45.5"]
+
+
 def test_em_finds_the_bad_labeler():
     rng = np.random.default_rng(1)
     true = rng.choice(3, 600, p=[0.6, 0.25, 0.15])
