@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_ids", write_token_ids),
 ]
 
-#: Signatures, fingerprints, trained weights and BPE have no SQL; tests/llm/test_pipeline.py compares the stages with brute force.
+#: Signatures, fingerprints, trained weights and BPE have no SQL; tests/llm/test_pipeline.py compares each stage with its operator's own result, tests/llm/test_operators.py the operators with brute force.
 ORACLE_SQL = None
 
 
