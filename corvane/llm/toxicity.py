@@ -31,8 +31,8 @@ BASE = {
     "report": "said says say saying claimed claims called calls quoted wrote writes alleged reportedly sagte sagt behauptet schrieb dit disait affirme écrit dijo dice afirma escribió",
 }
 ENDS = {"sentence": ". ! ? !! ?? !? ... … .\" !\" ?\" .) !) ?)", "clause": ", ; : – — ,\" ;\" ( )"}
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE, SENTENCE, AIMED, LATE, DENIED, QUOTED = range(12)
-N_CLASSES = 12
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE, SENTENCE, AIMED, LATE, DENIED, QUOTED, MENACED = range(13)
+N_CLASSES = 13
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_WEIGHT, MIN_TOXIC_DOCS, MIN_RATIO, MIN_LLR, MAX_TRAIN = 0.75, 6, 20.0, 40.0, 20_000
 PER_DOC = 3
@@ -75,31 +75,33 @@ class Transducer:
         return made
 
 
-def _fading(trigger: int, reach: int, rewrite: dict[int, tuple[int, float]], resets: tuple[int, ...]) -> Transducer:
-    """After `trigger`, for `reach` symbols, rewrite[symbol] = (output, weight)."""
+def _fading(trigger: int, reach: int, rewrite: dict[int, tuple[int, float]], resets: tuple[int, ...], once: bool = False) -> Transducer:
+    """After `trigger`, for `reach` symbols (or up to the first rewritten one), rewrite[symbol] = (output, weight)."""
     arcs: dict[int, dict[int, tuple[int, int, float]]] = {}
     for s in range(reach + 1):
         after = max(0, s - 1)
         arcs[s] = {trigger: (reach, trigger, 1.0)} | {r: (0, r, 1.0) for r in resets}
         if s:
-            arcs[s] |= {k: (after, out, w) for k, (out, w) in rewrite.items()}
+            arcs[s] |= {k: (0 if once else after, out, w) for k, (out, w) in rewrite.items()}
     return Transducer(arcs, {s: max(0, s - 1) for s in range(reach + 1)})
 
 
 def grammar() -> Transducer:
-    """negation o reported speech o target before o target after. What is left in class INSULT or
-    THREAT is a bare match, AIMED has its target in the clause, LATE is a target that follows."""
+    """negation o reported speech o target before o target of a threat o target of an insult. What is left
+    in class INSULT or THREAT is a bare match, AIMED has its target before it in the clause, MENACED is
+    the target that follows a threat, LATE one that follows an insult."""
     ends = (CLAUSE, SENTENCE)
     negation = _fading(NEGATION, NEGATION_REACH, {INSULT: (DENIED, 1.0), THREAT: (DENIED, 1.0)}, ends)
     report = _fading(REPORT, REPORT_REACH, {INSULT: (QUOTED, 0.4), THREAT: (QUOTED, 0.4)}, (SENTENCE,))
     before = _fading(TARGET, TARGET_REACH, {INSULT: (AIMED, 1.0), THREAT: (AIMED, 2.0)}, ends)
+    threatened = _fading(THREAT, TARGET_REACH, {TARGET: (MENACED, 1.0)}, ends, once=True)
     after = _fading(INSULT, TARGET_REACH, {TARGET: (LATE, 1.0)}, ends)
-    return negation.compose(report).compose(before).compose(after)
+    return negation.compose(report).compose(before).compose(threatened).compose(after)
 
 
-#: Score of an output class, times the word's own weight (LATE: as it is).
+#: Score of an output class, times the word's own weight (LATE and MENACED: as it is).
 SCORE = np.zeros(N_CLASSES)
-SCORE[[INSULT, AIMED, LATE, QUOTED, THREAT]] = (0.85, 1.25, 0.25, 0.85, 0.4)
+SCORE[[INSULT, AIMED, LATE, QUOTED, THREAT, MENACED]] = (0.85, 1.25, 0.25, 0.85, 0.4, 2.1)
 
 
 @dataclass
@@ -170,7 +172,7 @@ def score_texts(texts: list[str | None], lexicon: Lexicon, machine: Transducer,
         i = low[:live] + step
         s, c = state[:live], classes[i]
         out = machine.out[s, c]
-        worth[i] = SCORE[out] * machine.weight[s, c] * np.where(out == LATE, 1.0, strength[i])
+        worth[i] = SCORE[out] * machine.weight[s, c] * np.where((out == LATE) | (out == MENACED), 1.0, strength[i])
         state[:live] = machine.next[s, c]
     got = np.flatnonzero(worth > 0)
     np.add.at(score, tokens.doc[got], worth[got])
@@ -287,7 +289,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     length is found by a passage that would be found alone. score and n_clauses are of the whole text.
 
     A clause scores 0.85 for a bare insult, 1.25 if a target stands up to 5 words before it, 0.25 more if
-    one follows; a threat 0.4, or 2.5 with its target; a learned stem counts 0.75 of an insult. Within
+    one follows; a threat 0.4, or 2.5 with its target up to 5 words before or after it; a learned stem
+    counts 0.75 of an insult. Within
     3 words of a negation nothing counts; up to 12 words after a verb of saying, 0.4 of it.
 
     Null and empty texts never match. Rows with a null doc_id are scored like others. Repeated rows give
