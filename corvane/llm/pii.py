@@ -1,8 +1,7 @@
 """PII by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
-Candidates are stretches that hold a digit run or an at sign, and what is assigned to a password, token
-or the like. Regex, gazetteer and context labelers
-each vote for a kind, for "none", or abstain. Expectation-maximisation over the counts of all vote
+Candidates are stretches that hold a digit or an at sign, and what is assigned to a password, token or
+the like, with or without one. Regex, gazetteer and context labelers each vote for a kind, for "none", or abstain. Expectation-maximisation over the counts of all vote
 patterns estimates every labeler's confusion matrix and the kinds' shares; the resulting label
 probabilities train a softmax classifier on the span's shape and context, which makes the result.
 """
@@ -12,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,15 @@ ABSTAIN = -1
 FEATURES, MAX_TRAIN, CONTEXT = 256, 20_000, 40
 
 _TRIGGER = re.compile(r"[0-9@]")
-_ASSIGN = r"(?:token|secret|passw(?:or)?d|passwort|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|mot de passe|contraseña)[\w\-]*[\"'`\]]*(?:\s{0,3}(?::=|=>|=|:)\s{0,3}|\s+(?:is|ist|est|es)\s+)"
+_ASSIGN = r"(?:token|secret|passw(?:or)?d|passwort|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|mot de passe|contraseña)[\w\-]{0,40}+[\"'`\]]{0,3}(?:\s{0,3}(?::=|=>|=|:)\s{0,3}|\s+(?:is|ist|est|es)\s+)"
 #: One of these is in the lower case of every text that _ASSIGNED matches.
 _ASSIGN_PARTS = ("token", "secret", "passw", "passphrase", "pwd", "key", "credential", "auth", "mot de passe", "contraseña")
-_ASSIGNED = re.compile(_ASSIGN + r"""(?:(?P<q>["'`])(?P<s>[^\s"'`]{4,200})(?P=q)|(?P<v>(?![A-Z]{2}[0-9]{2}\s)(?=[^\s"'`,;()\[\]{}<>@]*[0-9])(?=[^\s"'`,;()\[\]{}<>@]*[a-z])[^\s"'`,;()\[\]{}<>@]{4,200}+(?![(\[@])))""", re.I)
+_ASSIGNED = re.compile(_ASSIGN + r"""(?:(?P<q>["'`])(?P<s>[^\s"'`]{4,}+)|(?P<v>(?![A-Z]{2}[0-9]{2}\s)[^\s"'`,;()\[\]{}<>@]{4,}+))""", re.I)
+_LETTER, _DIGIT, _BLANK = re.compile(r"[a-zA-Z]"), re.compile(r"[0-9]"), re.compile(r"\s")
 _ASSIGN_LEFT = re.compile(_ASSIGN + r"[\"'`]?$", re.I)
 _IP6 = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})"
 _CANDIDATE = re.compile(
-    r"""(?P<q>["'`])(?P<s>[A-Za-z0-9+/_=.\-]{16,})(?P=q)"""  # a quoted key
+    r"""(?P<q>["'`])(?P<s>[A-Za-z0-9+/_=.\-]{16,}+)(?P=q)"""  # a quoted key
     r"|[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+"
     rf"|(?<![\w:.]){_IP6}(?![\w:])"
     r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b"
@@ -44,9 +46,8 @@ _CANDIDATE = re.compile(
     r"|\b[0-9]{12,19}\b"
     r"|\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-/]?[0-9]{3}[ .\-]?[0-9]{3,4}\b"
     r"|[+(]?[0-9][0-9().\- /]{2,}[0-9]"
-    r"|\b(?=[A-Za-z0-9_\-]*[0-9])[A-Za-z0-9_\-]{16,}"
+    r"|(?<![A-Za-z0-9_\-])-*+(?P<k>[A-Za-z0-9_][A-Za-z0-9_\-]{15,}+)"
     r"|\b[0-9][0-9.,:]*"
-    r"|\S*@\S*"
 )
 
 
@@ -193,26 +194,79 @@ LABELERS: dict[str, Callable[[str, str, str], int]] = {
 }
 
 
+def _assigned_spans(text: str) -> list[tuple[int, int]]:
+    """What is assigned to a password or the like; types, names and stand-ins for a value are not."""
+    out, at = [], 0
+    while m := _ASSIGNED.search(text, at):
+        a, b = m.span("s") if m["s"] else m.span("v")
+        if m["s"]:
+            good = text[b : b + 1] == m["q"]
+        else:
+            good = bool(_DIGIT.search(text, a, b) and _LETTER.search(text, a, b)) and text[b : b + 1] not in ("(", "[", "@")
+        if good and not _NOT_SECRET.fullmatch(text, a, b):
+            out.append((a, b))
+        elif b - a < 200:  # the value may be the name of the next assignment; a longer one is passed over
+            b = a
+        at = b
+    return out
+
+
+def _around(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Blank-separated stretches around the at signs that lie in no span; spans ascend."""
+    stray, k, at = [], 0, text.find("@")
+    while at >= 0:
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        if k == len(spans) or spans[k][0] > at:
+            stray.append(at)
+        at = text.find("@", at + 1)
+    if not stray:
+        return []
+    blanks = [-1, *(m.start() for m in _BLANK.finditer(text)), len(text)]
+    out: list[tuple[int, int]] = []
+    for at in stray:
+        k = bisect_left(blanks, at)
+        a, b = blanks[k - 1] + 1, blanks[k]
+        n = bisect_left(spans, (at, at))  # the next spans on both sides bound it
+        a, b = max(a, spans[n - 1][1] if n else 0), min(b, spans[n][0] if n < len(spans) else b)
+        if not out or out[-1] != (a, b):
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans (from, to) that may be private."""
+    """Spans (from, to) that may be private; in time that follows the text's length."""
     if not text:
         return []
     out = []
     small = text.lower()
     if any(w in small for w in _ASSIGN_PARTS):
-        # types, names and stand-ins for a value aren't candidates
-        out = [m.span("s") if m.group("s") else m.span("v") for m in _ASSIGNED.finditer(text) if not _NOT_SECRET.fullmatch(m.group("s") or m.group("v"))]
+        out = _assigned_spans(text)
     if _TRIGGER.search(text):
         given = iter([*out, (len(text), len(text))])
         low, high = next(given)
-        for m in _CANDIDATE.finditer(text):
-            a, b = m.span("s") if m.group("s") else m.span()
+        found = []
+
+        def add(a: int, b: int) -> None:
+            nonlocal low, high
             while b > a and text[b - 1] in ".,;:!?-/ ":
                 b -= 1
             while high <= a and high < len(text):
                 low, high = next(given)
             if b > a and (b <= low or a >= high) and _TRIGGER.search(text, a, b):
-                out.append((a, b))
+                found.append((a, b))
+
+        for m in _CANDIDATE.finditer(text):
+            add(*(m.span("s") if m["s"] else m.span("k") if m["k"] else m.span()))
+        out = sorted(out + found)
+        if "@" in text:
+            found = []
+            for a, b in _around(text, out):
+                while b > a and text[b - 1] in ".,;:!?-/ ":
+                    b -= 1
+                if b > a:
+                    found.append((a, b))
+            out += found
     return sorted(out)
 
 
@@ -223,7 +277,7 @@ def votes(text: str, a: int, b: int) -> list[int]:
 
 def shape(s: str) -> str:
     """Runs of digits, small and capital letters by kind and length (up to 9)."""
-    return re.sub(r"[0-9]+|[a-z]+|[A-Z]+", lambda m: ("9" if m[0][0].isdigit() else "a" if m[0][0].islower() else "A") + str(min(len(m[0]), 9)), s[:200])
+    return re.sub(r"[0-9]+|[a-z]+|[A-Z]+", lambda m: ("9" if m[0][0].isdigit() else "a" if m[0][0].islower() else "A") + str(min(len(m[0]), 9)), s)
 
 
 def features(s: str, left: str) -> list[int]:
@@ -231,7 +285,7 @@ def features(s: str, left: str) -> list[int]:
     lengths, marks, and the last word before it."""
     sh = shape(s)
     parts = re.findall(r"[9aA][0-9]|.", sh)
-    names = [f"p{p}" for p in parts[:12]] + [f"b{x}{y}" for x, y in zip(parts[:12], parts[1:12])]
+    names = [f"p{p}" for p in {*parts}] + [f"b{x}{y}" for x, y in {*zip(parts, parts[1:])}]
     d = len(_digits(s))
     names += [f"d{min(d, 20)}", f"l{min(len(s) // 4, 16)}", f"at{'@' in s}", f"dots{min(s.count('.'), 4)}", f"al{any(c.isalpha() for c in s)}", f"plus{s[:1] == '+'}"]
     if ":" in s:
@@ -241,7 +295,12 @@ def features(s: str, left: str) -> list[int]:
     word = re.findall(r"\w+", left[-CONTEXT:])[-1:]
     mark = left.rstrip()[-1:]
     names += [f"m{mark}" if not mark.isalnum() else "m", f"w{word[0].lower()}" if word and _known(word[0]) else "w"]
-    return sorted({int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % FEATURES for n in names})
+    return sorted({_place(n) for n in names})
+
+
+@lru_cache(1 << 16)
+def _place(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
 
 def _known(word: str) -> bool:
@@ -342,6 +401,11 @@ def private_spans(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     Votes are counted over all spans of all documents. The classifier learns from at most max_train
     distinct pairs of vote pattern and features, the most frequent ones, weighted by their counts.
 
+    A candidate holds a digit or an at sign, or is assigned to a password, token or the like (quoted
+    values from 4 characters; unquoted ones with a letter and a digit). Names of persons, postal
+    addresses and secrets that are neither are not looked for. Spans of any length are judged whole; of
+    what surrounds one, CONTEXT characters to each side.
+
     Null and empty texts have no spans. Rows with a null doc_id are searched like others. Repeated rows
     give repeated result rows. Texts are searched whole. Empty table: empty result. Other columns are
     ignored, whatever their names.
