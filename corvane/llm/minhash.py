@@ -49,9 +49,12 @@ def _sign(rows: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, texts in ((b, low, texts) for b in batches for low, _, texts in kernel.chunks(b.column(1))):
             sig, some = signatures(texts)
-            keys = kernel.mix(np.ascontiguousarray(sig).view(np.uint64).reshape(len(texts), -1)) if rows == 4 else None
             n_bands = sig.shape[1] // rows
-            keys = keys[:, :n_bands] + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            parts = sig[:, : n_bands * rows].reshape(len(texts), n_bands, rows).astype(np.uint64)
+            keys = parts[:, :, 0]
+            for r in range(1, rows):
+                keys = (keys << np.uint64(16) if r < 4 else kernel.mix(keys)) ^ parts[:, :, r]
+            keys = kernel.mix(keys) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             keep_rows = pa.array(np.flatnonzero(some) + low)
             raw = np.ascontiguousarray(sig[some])
             width = raw.shape[1] * 2
@@ -103,24 +106,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _cross(threshold: float) -> callable:
-    """Compares all members of every bucket whose roots differ: (a, b), the roots of those that agree."""
+    """Compares all members of every bucket whose roots differ: (a, b), the roots of those that agree.
+    Rows come by bucket and root, so that pairs of one root aren't even made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 0, 20_000):
             bucket, root, piece = (rows.column(c).to_numpy() for c in ("bucket", "root", "piece"))
             apart = rows.column("apart").to_numpy()
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(bucket), -1)
-            # every row with those that follow it in its bucket, about PAIRS at a time
+            # every row with those of later roots in its bucket, about PAIRS at a time
             last = np.searchsorted(bucket, bucket, side="right")
-            after = last - np.arange(len(bucket)) - 1
+            turn = np.flatnonzero(np.concatenate([(bucket[1:] != bucket[:-1]) | (root[1:] != root[:-1]), [True]])) + 1
+            begin = turn[np.searchsorted(turn, np.arange(len(bucket)), side="right")]
+            after = last - begin
             upto = np.concatenate([[0], np.cumsum(after)])
             low = 0
             while low < len(bucket):
                 high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, side="right")) - 1)
                 n = after[low:high]
                 i = np.repeat(np.arange(low, high), n)
-                j = i + 1 + np.arange(len(i)) - np.repeat(upto[low:high] - upto[low], n)
-                ok = (root[i] != root[j]) & (~apart[i] | (piece[i] != piece[j]))
+                j = np.repeat(begin[low:high] - (upto[low:high] - upto[low]), n) + np.arange(len(i))
+                ok = ~apart[i] | (piece[i] != piece[j])
                 i, j = i[ok], j[ok]
                 near = (sig[i] == sig[j]).mean(1) >= threshold
                 found = np.unique(np.stack([np.maximum(root[i[near]], root[j[near]]), np.minimum(root[i[near]], root[j[near]])]), axis=1)
@@ -140,7 +146,7 @@ def _across(members: DataFrame, sigs: DataFrame, groups: DataFrame, threshold: f
     rows = rooted.join(mixed.select("band", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "band")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.select(F.xxhash64("band", F.least("piece", "other"), F.greatest("piece", "other")).alias("bucket"), "doc_id", "root", "piece", (F.col("piece") != F.col("other")).alias("apart"))
-    rows = rows.join(sigs, "doc_id").select("bucket", "root", "piece", "apart", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.join(sigs, "doc_id").select("bucket", "root", "piece", "apart", "sig").repartition("bucket").sortWithinPartitions("bucket", "root")
     return rows.mapInArrow(_cross(threshold), "a bigint, b bigint").distinct()
 
 
@@ -149,7 +155,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     the least doc_id of its group, similarity the Jaccard estimate of their 3-word shingles.
 
     Documents are linked where their signatures agree in at least `threshold` of 128 bins, looked for in
-    32 bands of 4 bins; groups are the connected components. A bucket gives one edge for each member, to
+    bands of `rows` bins (32 of 4; any number from 1 to 128); groups are the connected components. A bucket gives one edge for each member, to
     its least one (a star). Members that differ from that hub form the bucket's next star, up to
     STAR_ROUNDS. Then all members of a bucket that are still in different groups are compared with each
     other, whether or not they matched a hub, so that no pair of a bucket is given up.
@@ -159,6 +165,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     id joins the groups of all. Ties go to the least doc_id. Texts are hashed whole. Empty table: empty
     result. Other columns are ignored, whatever their names.
     """
+    if not 1 <= rows <= BINS:
+        raise ValueError(f"rows must be 1 to {BINS}")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     sigs = keep(base.mapInArrow(_sign(rows), "doc_id bigint, sig binary, bands array<bigint>"), "signatures")
     # equal signatures first: copies by the thousand become one member of their buckets
