@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -170,7 +171,7 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 _ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def _encode(shared, width: str) -> callable:
+def _encode(shared, width: str, shards: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         key = (len(ranks), hash(frozenset(ranks.items())))
@@ -178,10 +179,15 @@ def _encode(shared, width: str) -> callable:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(ranks)
         encoder = _ENCODERS[key]
-        for batch, low, high, texts in ((b, *c) for b in batches for c in kernel.chunks(b.column(2))):
+        for batch, low, high, texts in ((b, *c) for b in batches for c in kernel.chunks(b.column(1))):
             ids = encoder.encode(texts)
             raw = [None if t is None else x.astype(width).tobytes() for t, x in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["shard", "doc_id", "ids", "n_tokens"])
+            docs = batch.column(0).slice(low, high - low)
+            null = docs.is_null().to_numpy(zero_copy_only=False)
+            shard = shard_of(docs.fill_null(0).to_numpy(zero_copy_only=False), null, shards)
+            for i in np.flatnonzero(null):  # rows without an id are spread by what they hold
+                shard[i] = zlib.crc32(raw[i] or b"") % shards
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["shard", "doc_id", "ids", "n_tokens"])
 
     return run
 
@@ -192,6 +198,12 @@ def key_hash(doc_ids: np.ndarray, copies: np.ndarray, null: np.ndarray) -> np.nd
     return kernel.mix(np.where(null, np.uint64(0x5851F42D4C957F2D), h) ^ kernel.mix(copies.astype(np.uint64)))
 
 
+def shard_of(doc_ids: np.ndarray, null: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key; all copies of a doc_id are in one. Nulls: any."""
+    h = key_hash(doc_ids, np.full(len(doc_ids), -1), null)
+    return (kernel.mix(h) % np.uint64(max(1, shards))).astype(np.int32)
+
+
 def fingerprint(h: np.ndarray) -> np.ndarray:
     return (kernel.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.int64)
 
@@ -260,18 +272,21 @@ def _shard_rows(rows: pa.Table) -> pa.Table:
 
 
 ROWS = "shard int, slot int, doc_id bigint, copy int, fingerprint bigint, pilot bigint, token_offset bigint, n_tokens bigint, ids binary"
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
 
 def token_index(docs: DataFrame, vocabulary: str = VOCABULARY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Token ids of every document and where a keyed reader finds them.
 
-    Result: shard, slot (0 .. keys of the shard - 1, no two alike), doc_id, copy, fingerprint (32 bits
+    Result: shard, n_shards, slot (0 .. keys of the shard - 1, no two alike), doc_id, copy, fingerprint (32 bits
     of the key's hash), pilot (of the key's bucket), token_offset (in ids, from the shard's start),
-    n_tokens, ids (little-endian, 2 bytes each, or 4 if the vocabulary has more than 65,536). ShardReader
-    does the lookups; pack_shards makes one payload and one index of each shard.
+    n_tokens, ids (little-endian, 2 bytes each, or 4 if the vocabulary has more than 65,536). shard_of(doc_id,
+    n_shards) is the key's shard; pack_shards makes one payload and one index of each shard, in which
+    find (one key) and lookup (a table of keys) read in constant time a key.
 
     The key is (doc_id, copy): rows that repeat a doc_id are all kept and numbered from 0, by length,
-    then ids. A null doc_id is a key like any other. Null text: null ids and no tokens; empty text: empty
+    then ids. Rows with a null doc_id are kept, spread over the shards by what they hold, and numbered within
+    each; they are read by shard. Null text: null ids and no tokens; empty text: empty
     ids. Texts are encoded whole, special tokens in them as ordinary text. Empty table: empty result.
     Other columns are ignored, whatever their names. Shards hold docs_per_shard keys on average; their
     number follows the row count, so that a shard's size doesn't grow with the input.
@@ -281,9 +296,8 @@ def token_index(docs: DataFrame, vocabulary: str = VOCABULARY, docs_per_shard: i
     shards = max(1, -(-base.count() // docs_per_shard))
     ranks = load_ranks(vocabulary)
     shared = spark.sparkContext.broadcast(ranks)
-    keyed = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    ids = keyed.mapInArrow(_encode(shared, "<u2" if max(ranks.values()) < 65536 else "<u4"), "shard int, doc_id bigint, ids binary, n_tokens bigint")
-    return ids.groupBy("shard").applyInArrow(_shard_rows, ROWS)
+    ids = base.mapInArrow(_encode(shared, "<u2" if max(ranks.values()) < 65536 else "<u4", shards), "shard int, doc_id bigint, ids binary, n_tokens bigint")
+    return ids.groupBy("shard").applyInArrow(_shard_rows, ROWS).select("shard", F.lit(shards).alias("n_shards"), *COLUMNS[1:])
 
 
 class ShardReader:
@@ -314,16 +328,55 @@ def _pack(rows: pa.Table) -> pa.Table:
     offsets = np.concatenate([[0], np.cumsum(rows.column("n_tokens").to_numpy())]).astype(np.int64)
     data = [pilots.astype("<i8").tobytes(), rows.column("fingerprint").to_numpy().astype("<i8").tobytes(), offsets.astype("<i8").tobytes()]
     payload = b"".join(x or b"" for x in rows.column("ids").to_pylist())
-    return pa.table({"shard": rows.column("shard").slice(0, 1), "n_keys": pa.array([n], pa.int64()), "pilots": pa.array(data[:1], pa.binary()), "fingerprints": pa.array(data[1:2], pa.binary()), "offsets": pa.array(data[2:], pa.binary()), "payload": pa.array([payload], pa.binary())})
+    return pa.table({"shard": rows.column("shard").slice(0, 1), "n_shards": rows.column("n_shards").slice(0, 1), "n_keys": pa.array([n], pa.int64()), "pilots": pa.array(data[:1], pa.binary()), "fingerprints": pa.array(data[1:2], pa.binary()), "offsets": pa.array(data[2:], pa.binary()), "payload": pa.array([payload], pa.binary())})
+
+
+PACKED = "shard int, n_shards int, n_keys bigint, pilots binary, fingerprints binary, offsets binary, payload binary"
 
 
 def pack_shards(index: DataFrame) -> DataFrame:
-    """One row for each shard: n_keys, pilots, fingerprints, offsets, payload (all little-endian)."""
-    return index.groupBy("shard").applyInArrow(_pack, "shard int, n_keys bigint, pilots binary, fingerprints binary, offsets binary, payload binary")
+    """One row for each shard: n_shards, n_keys, pilots, fingerprints, offsets, payload (all little-endian)."""
+    return index.groupBy("shard").applyInArrow(_pack, PACKED)
+
+
+def read_packed(row) -> ShardReader:
+    """A reader of one row of pack_shards."""
+    pilots, fingerprints, offsets = (np.frombuffer(row[c], "<i8") for c in ("pilots", "fingerprints", "offsets"))
+    width = len(row["payload"]) // int(offsets[-1]) if offsets[-1] else 2
+    return ShardReader(pilots, fingerprints, offsets, row["payload"], width)
+
+
+def find(packed: DataFrame, doc_id: int, copy: int = 0) -> np.ndarray | None:
+    """The ids of one key, from the one row that can hold it; None if it isn't there. With packed written
+    in the order of shard, the filter reads one row group."""
+    any_row = packed.select("n_shards").head()
+    if any_row is None:
+        return None
+    shard = int(shard_of(np.array([doc_id]), np.array([False]), any_row["n_shards"])[0])
+    row = packed.filter(F.col("shard") == shard).head()
+    return read_packed(row).get(doc_id, copy) if row else None
+
+
+def _lookup(key: tuple, wanted: pa.Table, shard: pa.Table) -> pa.Table:
+    reader = read_packed({c: shard.column(c)[0].as_py() for c in ("pilots", "fingerprints", "offsets", "payload")}) if shard.num_rows else None
+    found = [reader.get(d, c) if reader else None for d, c in zip(wanted.column("doc_id").to_pylist(), wanted.column("copy").to_pylist())]
+    raw = [None if x is None else x.tobytes() for x in found]
+    return pa.table({"doc_id": wanted.column("doc_id"), "copy": wanted.column("copy"), "n_tokens": pa.array([None if x is None else len(x) for x in found], pa.int64()), "ids": pa.array(raw, pa.binary())})
+
+
+def lookup(packed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, copy, n_tokens, ids) of every row of keys (doc_id, copy); nulls where there is no such
+    key. A shard goes to one task once, with the keys that it may hold."""
+    shards = (packed.select("n_shards").head() or [1])[0]
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = shard_of(b.column(0).to_numpy(zero_copy_only=False), np.zeros(len(b), bool), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), b.column(1)], ["shard", "doc_id", "copy"])
 
-def read_packed(row, width: int = 2) -> ShardReader:
-    return ShardReader(*(np.frombuffer(row[c], "<i8") for c in ("pilots", "fingerprints", "offsets")), row["payload"], width)
+    rows = keys.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("copy").cast("int").alias("copy")).filter("doc_id IS NOT NULL AND copy IS NOT NULL")
+    placed = rows.mapInArrow(place, "shard int, doc_id bigint, copy int")
+    return placed.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(_lookup, "doc_id bigint, copy int, n_tokens bigint, ids binary")
 
 
 def op2_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
