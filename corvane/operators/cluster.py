@@ -16,24 +16,26 @@ def tfidf(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     return terms.join(df, "term").crossJoin(F.broadcast(n)).select(doc, "term", "tf", "df", weight.alias("weight"))
 
 
+def unit(vectors: DataFrame, doc: str) -> DataFrame:
+    """The vectors (doc, term, weight) at length 1; those of length 0 are left out."""
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
+    return vectors.select(doc, "term", "weight", norm.alias("_n")).filter("_n > 0").select(doc, "term", (F.col("weight") / F.col("_n")).alias("weight"))
+
+
 def cosine(a: DataFrame, b: DataFrame, a_doc: str, b_doc: str) -> DataFrame:
-    """(a_doc, b_doc, cosine) of all pairs that share a term; vectors are (doc, term, weight)."""
-    norm = lambda v, d: v.groupBy(d).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"_n_{d}"))
+    """(a_doc, b_doc, cosine) of all pairs that share a term; a and b are unit vectors (doc, term, weight)."""
     met = a.select(a_doc, "term", F.col("weight").alias("_x")).join(b.select(b_doc, "term", F.col("weight").alias("_y")), "term")
-    dots = met.groupBy(a_doc, b_doc).agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot"))
-    out = dots.join(norm(a, a_doc), a_doc).join(norm(b, b_doc), b_doc)
-    return out.select(a_doc, b_doc, F.when((F.col(f"_n_{a_doc}") > 0) & (F.col(f"_n_{b_doc}") > 0), F.col("_dot") / (F.col(f"_n_{a_doc}") * F.col(f"_n_{b_doc}"))).otherwise(0.0).alias("cosine"))
+    return met.groupBy(a_doc, b_doc).agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
 
 
 def anchor_clusters(vectors: DataFrame, doc: str, scores: DataFrame, fallback: DataFrame, most: int = 12, threshold: float = 0.12, calls: DataFrame | None = None, call_weight: float = 0.3) -> DataFrame:
     """(doc, cluster): each document goes to the most similar anchor, anchors being the best-scored
-    min(most, max(3, floor(sqrt(n)))) documents; similarity is (1 - w) * cosine + w * call affinity
+    min(most, max(3, floor(sqrt(n)))) documents (vectors: unit vectors); similarity is (1 - w) * cosine + w * call affinity
     (calls: doc, anchor, affinity). Below the threshold the cluster is the fallback's (doc, component),
     as path:<component>; with fewer than 3 documents it always is."""
-    n = scores.agg(F.count("*").alias("_n"))
-    ranked = scores.crossJoin(F.broadcast(n)).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("score"), doc)))
-    limit = F.least(F.lit(most), F.greatest(F.lit(3), F.floor(F.sqrt("_n"))))
-    anchors = F.broadcast(ranked.filter((F.col("_r") <= limit) & (F.col("_n") >= 3)).select(F.col(doc).alias("anchor")))
+    n = scores.count()
+    wanted = min(most, max(3, int(n**0.5))) if n >= 3 else 0
+    anchors = F.broadcast(scores.orderBy(F.desc("score"), doc).limit(wanted).select(F.col(doc).alias("anchor")))
     anchor_vectors = vectors.join(anchors, vectors[doc] == F.col("anchor")).select("anchor", "term", "weight")
     w = call_weight if calls is not None else 0.0
     sims = cosine(vectors, anchor_vectors, doc, "anchor").select(doc, "anchor", ((1 - w) * F.col("cosine")).alias("s"))

@@ -24,15 +24,12 @@ def coupling(edges: DataFrame, top: int = 6) -> DataFrame:
     """(metric, node, n, value): the top of fan_in, fan_out and instability = out / (in + out), the last
     for nodes with two edges or more; ties go to the least node."""
     d = degrees(edges)
-    total = F.col("in_degree") + F.col("out_degree")
-    parts = [
-        d.select(F.lit("fan_in").alias("metric"), "node", F.col("in_degree").alias("n"), F.col("in_degree").cast("double").alias("value")).filter("n > 0"),
-        d.select(F.lit("fan_out").alias("metric"), "node", F.col("out_degree").alias("n"), F.col("out_degree").cast("double").alias("value")).filter("n > 0"),
-        d.filter(total >= 2).select(F.lit("instability").alias("metric"), "node", total.alias("n"), F.round(F.col("out_degree") / total, 3).alias("value")),
-    ]
-    all_rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    i, o = F.col("in_degree"), F.col("out_degree")
+    one = lambda name, n, value, ok: F.when(ok, F.struct(F.lit(name).alias("metric"), n.alias("n"), value.alias("value")))
+    metrics = F.array(one("fan_in", i, i.cast("double"), i > 0), one("fan_out", o, o.cast("double"), o > 0), one("instability", i + o, F.round(o / (i + o), 3), i + o >= 2))
+    rows = d.select("node", F.explode(F.array_compact(metrics)).alias("m")).select("m.metric", "node", "m.n", "m.value")
     w = Window.partitionBy("metric").orderBy(F.desc("value"), "node")
-    return all_rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
+    return rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
 
 
 def lift(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -83,12 +80,15 @@ def _directed(edges: DataFrame, direction: str) -> DataFrame:
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(node, depth): nodes within `depth` steps of the starts, the starts at 0; each at its least."""
-    steps = _directed(edges, direction)
+    spark = edges.sparkSession
+    steps = cut_lineage(spark, _directed(edges, direction)) if depth > 1 else _directed(edges, direction)
     seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for k in range(1, depth + 1):
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
+        if k < depth:  # else every level would be planned, and computed, again in each later one
+            frontier = cut_lineage(spark, frontier)
         seen = seen.unionByName(frontier)
     return seen
 

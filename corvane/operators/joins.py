@@ -19,12 +19,12 @@ def first_candidate(rows: DataFrame, key: list[str], candidates: Column, targets
 def resolve_calls(sites: DataFrame, definitions: DataFrame, at_most: int = 3) -> DataFrame:
     """sites (site, file, name) with the definitions (target, file, name, ordinal) of the name: those of
     the same file if there are any, else the first `at_most` by ordinal. Result: site, target."""
-    d = definitions.select(F.col("name"), F.col("target"), F.col("file").alias("_file"), F.col("ordinal"))
-    met = sites.join(d, "name").withColumn("local", F.col("file") == F.col("_file"))
-    w = Window.partitionBy("site")
-    met = met.withColumn("any_local", F.max(F.col("local").cast("int")).over(w) == 1)
-    met = met.filter(~F.col("any_local") | F.col("local")).withColumn("r", F.row_number().over(w.orderBy("ordinal", "target")))
-    return met.filter(F.col("any_local") | (F.col("r") <= at_most)).select("site", "target").distinct()
+    d = definitions.select("name", "target", F.col("file").alias("_file"), "ordinal")
+    local = sites.join(d.withColumnRenamed("_file", "file"), ["name", "file"]).select("site", "target").distinct()
+    rest = sites.join(local.select("site").distinct(), "site", "left_anti")
+    # a hot name meets a site with its first definitions only
+    first = d.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("ordinal", "target"))).filter(F.col("_r") <= at_most)
+    return local.unionByName(rest.join(first, "name").select("site", "target").distinct())
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, strict: bool = False, tie: str | None = None) -> DataFrame:
@@ -63,9 +63,19 @@ def longest_prefix(rows: DataFrame, path: str, prefixes: DataFrame, prefix: str,
 def name_overlap(left: DataFrame, left_id: str, right: DataFrame, right_id: str, least: float = 0.2, top: int = 2) -> DataFrame:
     """Pairs of rows by shared tokens (array column `tokens` in both): |common| / |left's tokens| of at
     least `least`, the `top` best for each left row. Tokens are joined; nothing is crossed."""
-    a = left.select(left_id, F.array_distinct("tokens").alias("tokens")).select(left_id, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     b = right.select(right_id, F.explode(F.array_distinct("tokens")).alias("t"))
-    met = a.join(b, "t").groupBy(left_id, right_id, "n").agg(F.count("*").alias("common"))
+    a = left.select(left_id, F.array_distinct("tokens").alias("tokens")).select(left_id, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    # a pair needs `need` common tokens, of which at most `skip` are the left row's most frequent ones:
+    # the others alone must give need - skip, and only pairs that have those are looked up in the frequent ones
+    often = b.join(a.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("_df"))
+    need = F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1))
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("_df"), "t"))
+    a = a.join(often, "t").withColumns({"need": need, "skip": F.floor(need / 2)}).withColumn("common_token", place <= F.col("skip")).drop("_df")
+    rare = a.filter("NOT common_token").join(b, "t").groupBy(left_id, right_id, "n", "need", "skip").agg(F.count("*").alias("_some"))
+    near = rare.filter(F.col("_some") >= F.col("need") - F.col("skip"))
+    asked = near.join(a.filter("common_token").select(left_id, "t"), left_id).select(left_id, right_id, "t")
+    more = asked.join(b, [right_id, "t"], "left_semi").groupBy(left_id, right_id).agg(F.count("*").alias("_more"))
+    met = near.join(more, [left_id, right_id], "left").withColumn("common", F.col("_some") + F.coalesce("_more", F.lit(0)))
     scored = met.withColumn("score", F.round(F.col("common") / F.col("n"), 6)).filter(F.col("common") / F.col("n") >= least)
     w = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
     return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select(left_id, right_id, "common", "score")

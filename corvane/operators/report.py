@@ -17,8 +17,14 @@ PROFILES = {"fast": 4_000, "balanced": 20_000, "deep": 80_000}
 RATIOS = {"FILES": 0.4, "SYMBOLS": 0.25, "DIR": 0.1, "ENTITIES": 0.15}
 
 
-def _section(name: str, rows: DataFrame, line: F.Column, *order: F.Column | str) -> DataFrame:
-    return rows.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("pos"), line.alias("line"))
+#: A line costs a token at least, so that a section has no use for more lines than the largest budget.
+MOST_LINES = max(PROFILES.values())
+
+
+def _section(name: str, rows: DataFrame, line: F.Column, *order: F.Column | str, most: int = MOST_LINES) -> DataFrame:
+    """(section, pos, line): the first `most` rows in order, numbered."""
+    top = rows.orderBy(*order).limit(most)
+    return top.select(F.lit(name).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("pos"), line.alias("line"))
 
 
 def sections(m: dict[str, DataFrame], max_files: int = 40) -> list[DataFrame]:

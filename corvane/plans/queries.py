@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from corvane.functions import text as T
 from corvane.operators import cluster, graph, joins, snapshots, windows
 from corvane.plans.tables import TOP_SQL, TRADE_SQL, nations, table, top_trade, trade
+from corvane.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -426,15 +427,20 @@ n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), v AS (SELECT doc_i
 SELECT a.doc_id, b.doc_id AS other, round(sum(a.w * b.w) / (any_value(y.z) * any_value(x.z)), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND b.doc_id < 20 JOIN z y ON y.doc_id = a.doc_id JOIN z x ON x.doc_id = b.doc_id GROUP BY 1, 2""")
 def cosine(spark, d):
     docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
-    v = cluster.tfidf(docs, "doc_id", words())
+    v = cut_lineage(spark, cluster.unit(cluster.tfidf(docs, "doc_id", words()), "doc_id"))
     some = v.filter("doc_id < 20").withColumnRenamed("doc_id", "other")
     return cluster.cosine(v, some, "doc_id", "other").withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
+@query(f"""WITH docs AS (SELECT * FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM docs), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+n AS (SELECT count(*) AS n FROM docs), v AS (SELECT doc_id, term, tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1) AS w FROM tf JOIN df USING (term), n), z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM v GROUP BY 1),
+anchors AS (SELECT doc_id AS anchor FROM docs ORDER BY n_chars DESC, doc_id LIMIT (SELECT least(12, greatest(3, floor(sqrt(n))))::BIGINT FROM n)),
+s AS (SELECT a.doc_id, b.doc_id AS anchor, round(sum(a.w * b.w) / (any_value(y.z) * any_value(x.z)), 9) AS s FROM v a JOIN v b ON a.term = b.term JOIN anchors ON b.doc_id = anchor JOIN z y ON y.doc_id = a.doc_id JOIN z x ON x.doc_id = b.doc_id GROUP BY 1, 2),
+best AS (SELECT doc_id, max(s) AS s, arg_min(anchor, (-s, anchor)) AS anchor FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN s >= 0.12 THEN 'anchor:' || anchor ELSE 'path:' || source END AS cluster FROM docs LEFT JOIN best USING (doc_id)""")
 def semantic_cluster(spark, d):
     docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text", "source", "n_chars")
-    v = cluster.tfidf(docs, "doc_id", words())
+    v = cut_lineage(spark, cluster.unit(cluster.tfidf(docs, "doc_id", words()), "doc_id"))
     return cluster.anchor_clusters(v, "doc_id", docs.select("doc_id", F.col("n_chars").cast("double").alias("score")), docs.select("doc_id", F.col("source").alias("component")))
 
 
