@@ -24,7 +24,9 @@ def resolve_calls(sites: DataFrame, definitions: DataFrame, at_most: int = 3) ->
     rest = sites.join(local.select("site").distinct(), "site", "left_anti")
     # a hot name meets a site with its first definitions only
     first = d.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("ordinal", "target"))).filter(F.col("_r") <= at_most)
-    return local.unionByName(rest.join(first, "name").select("site", "target").distinct())
+    nth = F.row_number().over(Window.partitionBy("site").orderBy("ordinal", "target"))
+    others = rest.join(first, "name").withColumn("_n", nth).filter(F.col("_n") <= at_most)
+    return local.unionByName(others.select("site", "target").distinct())
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, strict: bool = False, tie: str | None = None) -> DataFrame:
