@@ -4,7 +4,9 @@ A passage of SPAN words that occurs twice holds a winnowed fingerprint that occu
 of repeated fingerprints are cut out with SPAN - K words to each side and sent to the fingerprint's
 shard. A shard indexes its stretches (suffix array, Burrows-Wheeler transform in a bit-packed wavelet
 matrix) and streams them through backward search: for every word, the longest match from there on that
-occurs at two places at least. Matches of SPAN words or more make the result.
+occurs at two places at least. Matches of SPAN words or more make the result. A print that would fill a
+shard by itself (a licence line in every tenth document) has no shard: the SPAN-word runs around its
+occurrences are hashed instead, and those that occur twice make the same result in any number of tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +26,10 @@ from corvane.llm.tables import BROADCAST_IDS, drop, keep, table
 
 SPAN, K = 50, 12
 SHARD_WORDS = 1 << 20
+#: Words of a piece that is streamed at once; at least twice the span.
 PIECE = 256
+#: Occurrences of a print beyond which it has no shard.
+HOT = SHARD_WORDS // (2 * SPAN - K)
 
 
 class WaveletMatrix:
@@ -220,6 +226,8 @@ def _windows(span: int, shards: int) -> callable:
             counts = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             row = np.repeat(np.arange(len(texts)), counts)
+            row = row[flat.field("hot").to_numpy(zero_copy_only=False) == 0]
+            flat = flat.filter(pc.invert(flat.field("hot")))
             pos, shard = flat.field("pos").to_numpy(), flat.field("print").to_numpy()
             begin = np.maximum(pos - side, 0)
             stop = np.minimum(pos + K + side, tokens.counts[row])
@@ -231,6 +239,32 @@ def _windows(span: int, shards: int) -> callable:
     return run
 
 
+def _grams(span: int) -> callable:
+    """Hashes of the runs of `span` words that hold a hot print: (print, tid, pos), as of prints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, low, high, texts in ((b, *c) for b in batches for c in kernel.chunks(b.column(1))):
+            tokens = kernel.tokenize(texts)
+            lists = batch.column(2).slice(low, high - low)
+            row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            hot = flat.field("hot").to_numpy(zero_copy_only=False)
+            row, pos = row[hot], flat.field("pos").to_numpy()[hot]
+            first, last = np.maximum(pos - (span - K), 0), np.minimum(pos, tokens.counts[row] - span)
+            n = np.maximum(last - first + 1, 0)
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = np.repeat(row, n)
+            key = np.unique(own << 40 | at)
+            own, at = key >> 40, key & ((1 << 40) - 1)
+            h = np.zeros(len(at), np.uint64)
+            begin = tokens.offsets[own] + at
+            for j in range(span):
+                h = kernel.mix(h) ^ tokens.hash[begin + j]
+            yield pa.RecordBatch.from_arrays([pa.array(kernel.mix(h).view(np.int64)), batch.column(0).take(pa.array(own + low)), pa.array(at)], ["print", "tid", "pos"])
+
+    return run
+
+
 def shard_matches(tid: np.ndarray, start: np.ndarray, words: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tid, from, to) of the matches of one shard's stretches."""
     length = np.fromiter((len(w) // 4 for w in words), np.int64, len(words))
@@ -252,11 +286,12 @@ def shard_matches(tid: np.ndarray, start: np.ndarray, words: list[bytes], span:
     text[at] = codes + 1
     index = FMIndex(text, sizes + 1)
     region_start = np.cumsum(sizes + 1) - (sizes + 1)
-    pieces = np.maximum(1, -(-(sizes - span + 1) // (PIECE - span + 1)))
+    wide = max(PIECE, 2 * span)
+    pieces = np.maximum(1, -(-(sizes - span + 1) // (wide - span + 1)))
     of = np.repeat(np.arange(len(sizes)), pieces)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = region_start[of] + nth * (PIECE - span + 1)
-    end = np.minimum(begin + PIECE, region_start[of] + sizes[of])
+    begin = region_start[of] + nth * (wide - span + 1)
+    end = np.minimum(begin + wide, region_start[of] + sizes[of])
     # pieces overlap, so each has its own copy of its words
     size = end - begin
     first = np.cumsum(size) - size
@@ -281,6 +316,11 @@ def _match(span: int) -> callable:
     return run
 
 
+def _twice(prints: DataFrame) -> DataFrame:
+    """The rows (print, tid, pos) whose print occurs more than once."""
+    return prints.repartition("print").sortWithinPartitions("print").mapInArrow(_repeated, "print bigint, tid bigint, pos bigint").filter("pos >= 0")
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, start_word, end_word): the maximal stretches of each document that are covered by
     passages of `span` words or more that occur at another place too, in this document or another.
@@ -303,13 +343,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     single = base.join(F.broadcast(gone) if small else gone, (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_digest")), "left_anti")
     keyed = single.select(F.xxhash64("doc_id", "text").alias("tid"), "doc_id", "text")
     prints = keyed.select("tid", "text").mapInArrow(_prints(span), "print bigint, tid bigint, pos bigint")
-    repeated = prints.repartition("print").sortWithinPartitions("print").mapInArrow(_repeated, "print bigint, tid bigint, pos bigint").filter("pos >= 0")
-    places = keep(repeated.groupBy("tid").agg(F.collect_list(F.struct("pos", "print")).alias("places")), "places")
-    spark.sparkContext._jvm.System.gc()
+    repeated = _twice(prints)
+    spot = F.struct("pos", "print", F.lit(False).alias("hot"))
+    places = keep(repeated.groupBy("tid").agg(F.collect_list(spot).alias("places")), "places")
     total = places.agg(F.sum(F.size("places"))).head()[0] or 0
     shards = max(1, -(-total * (2 * span - K) // SHARD_WORDS))
-    cut = keyed.select("tid", "text").join(places, "tid").select("tid", "text", "places").mapInArrow(_windows(span, shards), "shard int, tid bigint, start bigint, words binary")
+    single_places = places.select("tid", F.explode("places").alias("p")).select("tid", "p.pos", "p.print")
+    hot = keep(single_places.groupBy("print").count().filter(F.col("count") > HOT).select("print", F.lit(True).alias("hot")), "hot")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        marked = single_places.join(hot, "print", "left").groupBy("tid").agg(F.collect_list(F.struct("pos", "print", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
+        before, places = places, keep(marked, "marked")
+        drop(before)
+    texts = keyed.select("tid", "text").join(places, "tid").select("tid", "text", "places")
+    cut = texts.mapInArrow(_windows(span, shards), "shard int, tid bigint, start bigint, words binary")
     found = cut.groupBy("shard").applyInArrow(_match(span), "tid bigint, start_word bigint, end_word bigint")
+    if some_hot:
+        runs = _twice(texts.filter(F.exists("places", lambda p: p["hot"])).mapInArrow(_grams(span), "print bigint, tid bigint, pos bigint"))
+        found = found.unionByName(runs.select("tid", F.col("pos").alias("start_word"), (F.col("pos") + span).alias("end_word")))
     found = keep(found, "matches")
     drop(places)
     # overlapping intervals of a text become one
@@ -321,7 +372,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     ids = keyed.select("tid", "doc_id", F.md5("text").alias("digest")).distinct().join(whole, ["doc_id", "digest"], "left_anti")
     alone = merged.join(ids, "tid").select("doc_id", "start_word", "end_word")
     firsts = many.select(F.col("first").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    texts = base.join(F.broadcast(firsts) if small else firsts, (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_digest"))).select("_digest", "text")
+    few = firsts.count() <= BROADCAST_IDS
+    texts = base.join(F.broadcast(firsts) if few else firsts, (F.col("doc_id") == F.col("_id")) & (F.md5("text") == F.col("_digest"))).select("_digest", "text")
     counts = texts.mapInArrow(_count_words, "digest string, n bigint").filter(F.col("n") >= span).distinct()
     return alone.unionByName(many.join(counts, "digest").select("doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n").alias("end_word"))).distinct()
 
