@@ -29,7 +29,9 @@ def _values(names: str, *rows: tuple) -> str:
             return "NULL"
         if isinstance(v, list):
             return "[" + ", ".join(map(lit, v)) + "]"
-        return str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"{v}::DOUBLE"
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
 
@@ -96,19 +98,24 @@ def file_roles(spark, d):
     return relations(spark)["files"].select("path", "role", "entry_role")
 
 
-@query(_values("name", ("amount",), ("cost",), ("result",), ("text",), ("y",)))
+@query(_values("path, name, from_line, to_line", ("api/routes.py", "app", 6, 9), ("api/routes.py", "app", 6, 23), ("api/routes.py", "item_id", 10, 19), ("api/routes.py", "amount", 19, 20), ("api/routes.py", "name", 24, 25), ("services/cart.py", "name", 6, 12), ("services/cart.py", "name", 6, 13), ("services/cart.py", "cost", 12, 13), ("services/cart.py", "ids", 16, 17), ("services/cart.py", "result", 17, 18), ("services/prices.py", "name", 4, 5), ("src/index.ts", "app", 5, 6), ("src/index.ts", "app", 5, 7), ("src/index.ts", "text", 10, 11), ("src/lib.rs", "y", 5, 6)))
 def dataflow(spark, d):
-    facts = relations(spark)["facts"].filter("fact = 'flow'")
-    return facts.select("name").distinct().filter("name IN ('amount', 'cost', 'result', 'text', 'y')")
+    return relations(spark)["facts"].filter("fact = 'flow'").select("path", "name", F.col("line").alias("from_line"), F.col("end_line").alias("to_line"))
 
 
-@query(_values("id", ("create_item",), ("load",), ("read_item",), ("run",), ("teams",), ("test_add",)))
+@query(_values("id", ("sym:models/item.py#L4:Owner",), ("sym:src/lib.rs#L4:run",), ("sym:src/models.ts#L10:teams",), ("sym:src/models.ts#L1:Base",), ("sym:src/models.ts#L5:Account",)))
 def unused_symbols(spark, d):
-    s = relations(spark)["symbols"].filter("visibility = 'public' AND coalesce(refs_in, 0) = 0 AND kind IN ('function', 'const') AND name != 'test_nothing'")
-    return s.select(F.col("name").alias("id")).filter("id != 'greet'")
+    m = relations(spark)
+    return codemap.unused(m["symbols"], m["files"])
 
 
-@query()
+_EDGES = [("api/routes.py", "services/cart.py"), ("services/cart.py", "models/item.py"), ("services/cart.py", "services/prices.py"), ("tests/test_cart.py", "services/cart.py"), ("src/index.ts", "src/util.ts"), ("src/index.ts", "src/models.ts"), ("src/lib.rs", "src/shape.rs"), ("src/lib.rs", "src/shape.rs")]
+#: path, public symbols, entrypoint, calls into the file, calls out of it
+_NODES = [("api/routes.py", 2, 1, 0, 2), ("services/cart.py", 2, 0, 3, 3), ("services/prices.py", 1, 0, 2, 0), ("services/__init__.py", 0, 0, 0, 0), ("models/item.py", 2, 0, 1, 0), ("tests/test_cart.py", 1, 0, 0, 1), ("tests/test_prices.py", 1, 0, 0, 0), ("src/index.ts", 2, 1, 0, 1), ("src/util.ts", 1, 0, 1, 0), ("src/models.ts", 3, 0, 0, 0), ("src/lib.rs", 1, 0, 0, 1), ("src/shape.rs", 1, 0, 1, 0), ("examples/demo.py", 0, 0, 0, 0)]
+_SCORE_SQL = f"""WITH n AS ({_values("node, exports, entry, i, o", *_NODES)}), e AS ({_values("src, dst", *_EDGES)}), s AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM e GROUP BY 1, 2), r0 AS (SELECT node, 1.0::DOUBLE / 13 AS r FROM n)""" + "".join(f", r{k} AS (SELECT n.node, 0.15::DOUBLE / 13 + 0.85::DOUBLE * coalesce(sum(r.r * s.share), 0) AS r FROM n LEFT JOIN s ON s.dst = n.node LEFT JOIN r{k - 1} r ON r.node = s.src GROUP BY 1)" for k in range(1, 21))
+
+
+@query(_SCORE_SQL + " SELECT node AS path, round(0.6 * r + 0.2 * exports / 3 + 0.1 * 0.2 * entry + 0.1 * (i + o) / 3, 6) AS score FROM n JOIN r20 USING (node)")
 def code_scores(spark, d):
     return relations(spark)["files"].filter("score IS NOT NULL").select("path", F.round("score", 6).alias("score"))
 
@@ -125,7 +132,7 @@ def skeleton(spark, d):
     return codemap.skeleton(fixture.files(spark))
 
 
-@query()
+@query(_values("files, calls, import_capture_rate, ast_confidence, gate", (13, 9, 0.615, "medium", "fail")))
 def map_quality(spark, d):
     return codemap.map_quality(relations(spark)).select("files", "calls", "import_capture_rate", "ast_confidence", "gate")
 
@@ -139,14 +146,14 @@ def test_confidence(spark, d):
     return quality.test_confidence(tests, targets, tests.select("test", F.lit(None).alias("symbol")).limit(0), entries)
 
 
-@query()
+@query(_values("node, score", ("src/index.ts", 6.5), ("src/lib.rs", 6.5), ("src/shape.rs", 5.0), ("models/item.py", 4.5), ("src/models.ts", 4.5), ("src/util.ts", 4.5), ("api/routes.py", 3.75), ("examples/demo.py", 3.0)))
 def change_risk(spark, d):
     from corvane.operators import graph
 
     m = relations(spark)
-    code = m["files"].filter("language != 'unknown'").select(F.col("path").alias("node"))
+    code = m["files"].filter("language != 'unknown' AND role != 'test'").select(F.col("path").alias("node"))
     untested = code.join(m["tests"].select(F.col("target").alias("node")), "node", "left_anti")
-    return quality.change_risk(code, graph.degrees(m["file_dep"].select("src", "dst")), untested, untested.limit(0))
+    return quality.change_risk(code, graph.degrees(m["file_dep"].select("src", "dst")), untested, untested.limit(0)).select("node", "score")
 
 
 @query()
@@ -154,7 +161,11 @@ def digest(spark, d):
     return report.assemble(report.sections(relations(spark)), 600)
 
 
-@query()
+_FILES = [*(n[0] for n in _NODES), "schema.sql", "docs/cart.md", "package.json"]
+
+
+@query("""WITH h(k, line) AS (VALUES ('0', '<?xml version="1.0" encoding="UTF-8"?>'), ('0', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), ('0', '<key id="kind" for="all" attr.name="kind" attr.type="string"/>'), ('0', '<key id="label" for="node" attr.name="label" attr.type="string"/>'), ('0', '<graph edgedefault="directed">'), ('3', '</graph>'), ('3', '</graphml>'))
+SELECT line FROM h UNION ALL SELECT '<node id="file:' || p || '"><data key="kind">file</data><data key="label">' || p || '</data></node>' FROM (""" + _values("p", *((f,) for f in _FILES)) + """) UNION ALL SELECT '<edge source="file:' || src || '" target="file:' || dst || '"><data key="kind">import</data></edge>' FROM (""" + _values("src, dst", *_EDGES) + ")")
 def graphml(spark, d):
     m = relations(spark)
     nodes = m["files"].select("id", F.lit("file").alias("kind"), F.col("path").alias("label"))

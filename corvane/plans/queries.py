@@ -93,14 +93,6 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(links).alias("ordinal", "href"))
 
 
-@query(f"""WITH p AS (SELECT page_id, {URL_PATH_SQL} AS path FROM pages), g AS (SELECT split_part(path, '/', 2) AS grp, path FROM p WHERE path <> '/')
-SELECT grp, count(*)::BIGINT AS n, list_slice(list_sort(list_distinct(list(path))), 1, 2) AS samples FROM g GROUP BY grp""")
-def route_groups(spark, d):
-    p = table(spark, d, "pages").select(T.url_path(F.col("url")).alias("path")).filter("path != '/'")
-    first = F.element_at(F.split("path", "/"), 2)
-    return p.groupBy(first.alias("grp")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, 2).alias("samples"))
-
-
 @query("""SELECT doc_id, n, strpos(text, chr(10)) AS first_break FROM (SELECT doc_id, text, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n FROM documents)""")
 def line_numbers(spark, d):
     text = F.col("text")
@@ -327,17 +319,6 @@ def test_mapping(spark, d):
     return quality.with_fallback(docs.select("doc_id"), "doc_id", labels, docs.join(by_source, "source").select("doc_id", "target"))
 
 
-@query("""SELECT c_custkey, c.c_nationkey AS key, CASE WHEN n.n_name IS NOT NULL THEN 'exact' WHEN u.n_name IS NOT NULL THEN 'unique' END AS via, coalesce(n.n_name, u.n_name) AS target
-FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 0 LEFT JOIN (SELECT n_regionkey, min(n_name) AS n_name FROM nation WHERE n_nationkey < 7 GROUP BY 1 HAVING count(*) = 1) u ON c.c_nationkey % 5 = u.n_regionkey""")
-def type_binding(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("key"), "c_acctbal")
-    n = table(spark, d, "nation")
-    exact = n.select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("_a"))
-    unique = n.filter("n_nationkey < 7").groupBy(F.col("n_regionkey").alias("_r")).agg(F.min("n_name").alias("_b"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    met = c.join(exact, (F.col("key") == F.col("_k")) & (F.col("c_acctbal") > 0), "left").join(unique, F.col("key") % 5 == F.col("_r"), "left")
-    return met.select("c_custkey", "key", F.when(F.col("_a").isNotNull(), "exact").when(F.col("_b").isNotNull(), "unique").alias("via"), F.coalesce("_a", "_b").alias("target"))
-
-
 # --- sets and snapshots -------------------------------------------------------------------------
 
 
@@ -373,11 +354,6 @@ def changed_entrypoints(spark, d):
     return snapshots.symmetric_difference(c.filter("c_custkey % 3 != 0"), new, "c_custkey", "s")
 
 
-@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def dead_code(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left_anti")
-
-
 # --- windows ------------------------------------------------------------------------------------
 
 
