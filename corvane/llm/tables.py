@@ -17,12 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back: the lineage is cut, and
-    they outlive the executors that made them. Removed when the driver ends, or by drop()."""
+    they outlive the executors that made them. The shuffle files of the write go when it ends; the table
+    goes when the driver ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _KEPT[path] = spark
     kept = spark.read.schema(df.schema).parquet(path)
     kept._corvane_path = path
