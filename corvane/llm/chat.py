@@ -98,8 +98,8 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     one row for each turn of each window. A conversation with a system turn only is one window.
 
     Order: turn, then role, text; nulls first, so that ties and repeated rows are all kept, in a fixed
-    order. Null conv_id: those rows are one conversation. Null role: no system turn, no loss. Null text:
-    header tokens only. Empty table: empty result. Other columns are ignored, whatever their names. One
+    order. Null conv_id: those rows are one conversation. Null role: no system turn, no loss. Null or empty
+    text: header tokens only. Very long texts are counted whole and never cut. Empty table: empty result. Other columns are ignored, whatever their names. One
     conversation at a time is held by a task.
     """
     base = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), turn_tokens(F.col("text"), overhead).alias("n_tokens"))
