@@ -11,7 +11,7 @@ from corvane.functions.text import clean_type, identifier_parts, normal_path, no
 from corvane.operators import graph, joins, quality, rank
 from corvane.operators.extract import extract_facts
 from corvane.session import cut_lineage
-from corvane.sources.files import classify, code_files, summary_line
+from corvane.sources.files import classify, code_files, oversized, summary_line
 
 _TS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
@@ -169,10 +169,14 @@ def entry_signals(files: DataFrame, manifest: DataFrame | None = None) -> DataFr
     return found.filter("r IS NOT NULL").groupBy("path").agg(F.min_by("r", F.struct(-F.col("s"), F.array_position(order, F.col("r")))).alias("entry_role"))
 
 
-def build(files: DataFrame, aliases: list[tuple[str, str, str]] = ()) -> dict[str, DataFrame]:
-    """All relations of the code map of files (path, content). Facts are extracted once and kept."""
+def build(files: DataFrame, aliases: list[tuple[str, str, str]] = (), manifest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All relations of the code map of files (path, content). Facts are extracted once and kept; code
+    files that are too long to be parsed are listed in skipped. manifest (path, role) names entrypoints."""
     spark = files.sparkSession
     nodes = classify(files)
+    if manifest is not None:
+        nodes = nodes.drop("entry_role", "role").join(entry_signals(nodes, manifest), "path", "left")
+        nodes = nodes.withColumn("role", paths.role(F.col("path"), F.col("entry_role").isNotNull()))
     facts = cut_lineage(spark, extract_facts(code_files(nodes).unionByName(nodes.filter((F.col("language") == "unknown") & F.col("path").rlike("\\.(?:sql|prisma|graphql|gql|proto)$")))))
     file_dep, external = resolve_imports(facts, nodes.filter("language != 'unknown'"), aliases)
     file_dep = cut_lineage(spark, file_dep)
@@ -186,12 +190,16 @@ def build(files: DataFrame, aliases: list[tuple[str, str, str]] = ()) -> dict[st
     entities = cut_lineage(spark, entities_of(facts))
     docs = facts.filter("fact = 'doc'").select("path", F.col("name").alias("owner"), "line", F.col("attrs")["summary"].alias("summary"), F.col("items").alias("params"), F.col("attrs")["returns_type"].alias("returns_type"), F.col("attrs")["returns"].alias("returns"), F.col("attrs")["raises"].alias("raises"))
     file_nodes = nodes.withColumn("summary_1l", summary_line()).join(scores.withColumnRenamed("node", "path"), "path", "left").select(file_id(F.col("path")).alias("id"), "path", "language", "role", "entry_role", "layer", "component", "sha1", "summary_1l", "score")
+    # what reports read many times is computed once
+    file_nodes = cut_lineage(spark, file_nodes)
     scored = symbols.join(symbol_scores.select(F.col("symbol").alias("id"), "refs_in", "refs_out", "score"), "id", "left")
+    scored, external = cut_lineage(spark, scored), cut_lineage(spark, external)
+    tests, contracts = cut_lineage(spark, test_targets(nodes, file_dep, refs, symbols)), cut_lineage(spark, api_contracts(facts))
     return {
         "facts": facts, "files": file_nodes, "symbols": scored, "file_dep": file_dep, "external_dep": external, "symbol_ref": refs, "call_lift": lifted,
         "dataflow": facts.filter("fact = 'flow'").select(F.col("path").alias("from_path"), F.col("line").alias("from_line"), F.col("path").alias("to_path"), F.col("end_line").alias("to_line"), F.col("attrs")["kind"].alias("kind"), F.lit("ast").alias("provenance")),
-        "type_ref": type_edges(facts, symbols), "entities": entities, "entity_use": entity_edges(entities, nodes, file_dep), "api_contracts": api_contracts(facts), "docs": docs,
-        "tests": test_targets(nodes, file_dep, refs, symbols),
+        "type_ref": type_edges(facts, symbols), "entities": entities, "entity_use": entity_edges(entities, nodes, file_dep), "api_contracts": contracts, "docs": docs,
+        "tests": tests, "nodes": nodes, "skipped": oversized(nodes),
     }
 
 

@@ -115,7 +115,8 @@ def entry_inventory(contracts: DataFrame, files: DataFrame, per_group: int = 24)
     handlers and server actions by content, and, where there is none of these, files with an entry role."""
     routes = contracts.select(F.lit("http").alias("kind"), F.concat(F.lower("method"), F.lit(":"), "route").alias("label"), "path")
     c = F.col("content")
-    found = F.array(F.when(c.rlike("\\basync\\s+scheduled\\s*\\(|\\bscheduled\\s*[:(]"), F.struct(F.lit("job").alias("kind"), F.lit("scheduled").alias("label"))), F.when(c.rlike("\\basync\\s+queue\\s*\\("), F.struct(F.lit("job"), F.lit("queue"))), F.when(P.is_server_action(c), F.struct(F.lit("rpc"), F.lit("action"))))
+    kind = lambda test, kind, label: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label")))
+    found = F.array(kind(c.rlike("\\basync\\s+scheduled\\s*\\(|\\bscheduled\\s*[:(]"), "job", "scheduled"), kind(c.rlike("\\basync\\s+queue\\s*\\("), "job", "queue"), kind(P.is_server_action(c), "rpc", "action"))
     special = files.select("path", F.explode(F.array_compact(found)).alias("e")).select("e.kind", "e.label", "path")
     told = routes.unionByName(special)
     rest = files.filter("entry_role IS NOT NULL").join(told.select("path").distinct(), "path", "left_anti").select(F.lit("entry").alias("kind"), F.col("entry_role").alias("label"), "path")

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions.text import compact_signature, token_estimate
-from corvane.operators import codemap, graph, quality, windows
+from corvane.functions.text import compact_signature, identifier_parts, normal_terms, token_estimate
+from corvane.operators import codemap, graph, inventory, quality, windows
+from corvane.session import cut_lineage
+from corvane.sources.files import package_roots
 
-ORDER = ["SUMMARY", "TOP_HUBS", "ENTRYPOINTS", "DIR", "COMPONENTS", "FILES", "SYMBOLS", "ENTITIES", "ROUTES", "STATIC_TRACES", "FLOWS", "TRACE_GRAPH", "DOCS", "LAYERS", "DOCS_QUALITY", "TEST_MAPPING", "CHANGE_RISK", "DEAD_CODE", "TYPE_HIERARCHY", "CALL_CHAINS"]
-DROPPED_FIRST = ["CALL_CHAINS", "TRACE_GRAPH", "DOCS_QUALITY", "CHANGE_RISK", "LAYERS", "DOCS", "FLOWS"]
+ORDER = ["REPO", "SUMMARY", "TOP_HUBS", "PUBLIC_API", "ENTRYPOINTS", "ENTRYPOINT_GROUPS", "DIR", "COMPONENTS", "COMPONENT_EDGES", "CYCLES", "WARNINGS", "EXTERNALS", "PACKAGES", "CONFIDENCE_GATE", "LIMITS", "FILES", "SYMBOLS", "ENTITIES", "FOREIGN_KEYS", "ROUTES", "ROUTE_GROUPS", "STATIC_TRACES", "FLOWS", "TRACE_GRAPH", "DOCS", "ARCHITECTURE", "LAYERS", "ROLE_EDGES", "PURPOSE", "QUALITY", "DOCS_QUALITY", "TEST_CONFIDENCE", "TRACEABILITY", "TEST_MAPPING", "CHANGE_RISK", "DEAD_CODE", "TYPE_HIERARCHY", "EDGES", "CALL_CHAINS", "DIAGRAM"]
+DROPPED_FIRST = ["DIAGRAM", "CALL_CHAINS", "TRACE_GRAPH", "DOCS_QUALITY", "TEST_CONFIDENCE", "CHANGE_RISK", "QUALITY", "LAYERS", "DOCS", "FLOWS"]
+#: Words of paths that tell what a component is for.
+PURPOSES = {"api": "interface", "auth": "access", "cart": "shopping", "cli": "command line", "db": "storage", "model": "data model", "models": "data model", "routes": "interface", "services": "business rules", "shape": "geometry", "ui": "user interface"}
 PROFILES = {"fast": 4_000, "balanced": 20_000, "deep": 80_000}
 RATIOS = {"FILES": 0.4, "SYMBOLS": 0.25, "DIR": 0.1, "ENTITIES": 0.15}
 
@@ -63,6 +67,40 @@ def sections(m: dict[str, DataFrame], max_files: int = 40) -> list[DataFrame]:
         _section("TYPE_HIERARCHY", m["type_ref"], F.concat_ws(" ", "from_name", "kind", "to_name"), "from_name", "kind", "to_name", "path", "line"),
         _section("CALL_CHAINS", graph.greedy_flows(m["symbol_ref"].withColumn("w", F.lit(1.0)), m["symbols"].filter("coalesce(refs_in, 0) = 0").select(F.col("id").alias("node")), 3, 6), arrow("path"), "path"),
     ]
+    n = lambda c: F.col(c).cast("string")
+    nodes, shown = inventory.component_graph(code, edges)
+    row = codemap.map_quality(m)
+    entries = inventory.entry_inventory(m["api_contracts"], m["nodes"])
+    roles = code.select(F.col("path").alias("node"), F.col("layer").alias("role"))
+    words = code.select("component", F.explode(normal_terms(identifier_parts(F.regexp_replace("path", "\\.[A-Za-z]+$", "")))).alias("token"))
+    keywords = code.sparkSession.createDataFrame(list(PURPOSES.items()), "token string, purpose string")
+    tests = code.filter("role = 'test'").select(F.col("path").alias("test"))
+    trust = quality.test_confidence(tests, m["tests"].filter("via = 'graph'").select("test", "target"), tests.select("test", F.lit(None).alias("symbol")).limit(0), starts)
+    named = code.filter("role = 'library'").select("id", F.regexp_extract("path", "([^/]+)\\.[a-z]+$", 1).alias("name"))
+    as_section = lambda df, kind: df.select(F.lit(kind).alias("section"))
+    cut = inventory.limits(as_section(code, "files").unionByName(as_section(m["symbols"], "symbols")), as_section(chosen, "files").unionByName(as_section(m["symbols"], "symbols")), as_section(chosen, "files"))
+    out += [
+        _section("REPO", code.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("language")).alias("l")), F.concat(F.lit("files="), n("n"), F.lit(" languages="), F.array_join("l", ",")), "n"),
+        _section("PUBLIC_API", inventory.exported_names(m["symbols"]).join(code.filter("role != 'test'").select("path"), "path", "left_semi"), F.concat("path", F.lit(": "), F.array_join(F.slice("names", 1, 6), ", ")), "path"),
+        _section("ENTRYPOINT_GROUPS", entries.groupBy("domain").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("label")), 1, 2).alias("l")), F.concat_ws(" ", "domain", n("n"), F.array_join("l", ",")), F.desc("n"), "domain"),
+        _section("COMPONENT_EDGES", shown, F.concat("src", F.lit(" -> "), "dst", F.lit(" "), F.col("w").cast("bigint").cast("string")), F.desc("w"), "src", "dst"),
+        _section("CYCLES", graph.cycles(shown).limit(3), arrow("cycle"), "cycle"),
+        _section("WARNINGS", m["skipped"], F.concat(F.lit("not parsed, too long: "), "path"), "path", most=6),
+        _section("EXTERNALS", inventory.external_groups(m["external_dep"]), F.concat_ws(" ", "category", F.array_join("modules", ",")), F.desc("n"), "category"),
+        _section("PACKAGES", inventory.package_stats(code, m["symbols"], package_roots(m["nodes"])), F.concat_ws(" ", "root", n("files"), n("symbols")), F.desc("files"), F.desc("symbols"), "root"),
+        _section("CONFIDENCE_GATE", row, F.concat_ws(" ", "gate", F.array_join("reasons", ",")), "gate"),
+        _section("LIMITS", cut, F.concat_ws(" ", "section", F.concat(F.lit("available="), n("available")), F.concat(F.lit("omitted="), n("omitted_by_limit"))), "section"),
+        _section("FOREIGN_KEYS", codemap.foreign_keys(m["entities"]), F.concat_ws(" ", "id", "field", "dst"), "id", "field", "dst"),
+        _section("ROUTE_GROUPS", inventory.route_groups(m["api_contracts"].select(F.lit("api").alias("kind"), "route")), F.concat_ws(" ", "key", n("n")), F.desc("n"), "key"),
+        _section("ARCHITECTURE", inventory.architecture(code, m["external_dep"]), F.concat(F.lit("layout="), "layout", F.lit(" frameworks="), F.array_join("frameworks", ","), F.lit(" stores="), F.array_join("stores", ",")), "layout"),
+        _section("ROLE_EDGES", inventory.role_edges(edges, roles), F.concat("src_role", F.lit("->"), "dst_role", F.lit(" "), n("n")), F.desc("n"), "src_role", "dst_role"),
+        _section("PURPOSE", quality.component_purpose(words, keywords), F.concat_ws(" ", "component", "purpose"), "component"),
+        _section("QUALITY", row, F.concat(F.lit("files="), n("files"), F.lit(" calls="), n("calls"), F.lit(" imports="), F.coalesce(n("import_capture_rate"), F.lit("n/a")), F.lit(" confidence="), "ast_confidence"), "files"),
+        _section("TEST_CONFIDENCE", trust.groupBy("bucket").agg(F.count("*").alias("n")), F.concat_ws(" ", "bucket", n("n")), F.desc("n"), "bucket"),
+        _section("TRACEABILITY", codemap.doc_links(m["files"].filter("path LIKE '%.md'").select("path"), named), F.concat_ws(" -> ", "doc_path", "target"), "doc_path", "target", most=6),
+        _section("EDGES", edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), F.concat("src", F.lit(" -> "), "dst"), F.desc("w"), "src", "dst"),
+        _section("DIAGRAM", shown, F.concat("src", F.lit(" --> "), "dst"), F.desc("w"), "src", "dst"),
+    ]
     return out
 
 
@@ -71,7 +109,8 @@ def assemble(parts: list[DataFrame], budget: int, margin: float = 1.0, ratios: d
     the first line that its share doesn't hold; then sections are dropped in DROPPED_FIRST's order
     until the rest fits; and at last the text ends before the first line that is too much."""
     cap = max(1, int(budget * min(1.0, max(0.5, margin))))
-    lines = reduce(DataFrame.unionByName, parts).withColumn("tokens", token_estimate(F.col("line")))
+    # the lines are needed for the sizes of the sections and for the text
+    lines = cut_lineage(parts[0].sparkSession, reduce(DataFrame.unionByName, parts).withColumn("tokens", token_estimate(F.col("line"))))
     place = F.create_map(*[F.lit(x) for i, n in enumerate(ORDER) for x in (n, i)])
     share = F.create_map(*[F.lit(x) for n, r in ratios.items() for x in (n, float(min(1.0, max(0.0, r))))])
     own = Window.partitionBy("section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -40,6 +40,11 @@ def code_files(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     return files.filter((F.col("language") != "unknown") & (F.length("content") <= limit))
 
 
+def oversized(files: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """(path, n_chars): the code files that code_files leaves out."""
+    return files.filter((F.col("language") != "unknown") & (F.length("content") > limit)).select("path", F.length("content").alias("n_chars"))
+
+
 def summary_line() -> F.Column:
     """The first comment or docstring line among a file's first 40 lines, if nothing else comes first."""
     lines = F.transform(F.slice(F.split("content", "\n"), 1, 40), lambda x: F.trim(x))
@@ -64,6 +69,19 @@ def path_aliases(tsconfig: str | None) -> list[tuple[str, str, str]]:
     return [(pattern, target, base) for pattern, targets in options.get("paths", {}).items() for target in targets]
 
 
+def merged_aliases(tsconfigs: dict[str, str]) -> list[tuple[str, str, str]]:
+    """The aliases of tsconfigs (path: text): of the top one if it has any, else of all nested ones, each
+    with its folder before the base."""
+    top = path_aliases(tsconfigs.get("tsconfig.json"))
+    if top:
+        return top
+    out = []
+    for path, text in sorted(tsconfigs.items()):
+        folder = path.rpartition("/")[0] or "."
+        out += [(pattern, target, f"{folder}/{base}") for pattern, target, base in path_aliases(text)]
+    return out
+
+
 FRAMEWORKS = [("next", "next"), ("@nestjs/core", "nestjs"), ("hono", "hono"), ("fastify", "fastify"), ("express", "express"), ("react", "react"), ("vue", "vue"), ("svelte", "svelte"), ("fastapi", "fastapi"), ("django", "django"), ("flask", "flask"), ("starlette", "starlette"), ("axum", "axum"), ("actix-web", "actix")]
 
 
