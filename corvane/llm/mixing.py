@@ -35,11 +35,19 @@ def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
-def sampling_plan(docs: DataFrame, targets: DataFrame | None, ratio: float, alpha: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def weight_of(weight: str | None) -> Column:
+    """The named column, 0.05 at least (also for nulls and NaN); quality_weight of the text without one."""
+    if weight is None:
+        return quality_weight(F.col("text"))
+    given = F.col(f"`{weight}`").cast("double")
+    return F.when(given > 0.05, F.nanvl(given, F.lit(0.05))).otherwise(0.05)
+
+
+def sampling_plan(docs: DataFrame, targets: DataFrame | None, ratio: float, alpha: float, seed: int, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(narrow, plan): narrow has doc_id, source, n_tokens, es_key of every row; plan has for each source
     the epochs and the largest key that is still taken (null: none)."""
     narrow = keep(
-        docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), quality_weight(F.col("text")).alias("w"))
+        docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), weight_of(weight).alias("w"))
         .select("doc_id", "source", "n_tokens", sampling_key(F.col("doc_id"), F.col("w"), seed).alias("es_key")),
         "keys",
     )
@@ -55,7 +63,7 @@ def sampling_plan(docs: DataFrame, targets: DataFrame | None, ratio: float, alph
     else:
         shares = sums.join(targets.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("share")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["share"])
     total = shares.agg(F.sum("share").alias("_share"), F.sum("have").alias("_all"))
-    budget = F.coalesce(F.floor(F.col("_all") * ratio * F.col("share") / F.col("_share")), F.lit(0))
+    budget = F.coalesce(F.floor(F.col("_all") * ratio * F.col("share") / F.nullif(F.col("_share"), F.lit(0.0))), F.lit(0))
     epochs = F.when(F.col("have") > 0, F.floor(budget / F.col("have"))).otherwise(0)
     plan = shares.crossJoin(total).select("source", epochs.cast("bigint").alias("epochs"), (budget - epochs * F.col("have")).cast("bigint").alias("left_over"))
     marked = hist.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -68,30 +76,34 @@ def sampling_plan(docs: DataFrame, targets: DataFrame | None, ratio: float, alph
     return narrow, keep(plan, "plan")
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame | None = None, ratio: float = 1.0, alpha: float = 0.5, seed: int = 7, rows: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame | None = None, ratio: float = 1.0, alpha: float = 0.5, seed: int = 7, rows: bool = False, weight: str | None = None) -> DataFrame:
     """Samples documents to a token budget for each source.
 
-    targets has (source, weight), any positive scale; a source without a weight gets nothing. Without
+    targets has (source, weight), any positive scale; a source without a weight gets nothing (nor does any, if no weight is above 0). Without
     targets a source weighs its token count to the power alpha. The budget of all is ratio times the
     tokens of all, and each source's share is rounded down.
 
+    A document's key is scaled by its quality weight: the column that `weight` names (a probability, say),
+    or the share of letters in its text.
+
     Result: doc_id, source, n_tokens, copies of the documents that are taken (copies > 0); with rows,
     the input's columns instead, each row repeated as often as it is taken.
 
     Null doc_id: one key that all such rows share. Null source: a source of its own. Null or empty text:
-    no tokens, smallest weight; it costs nothing and comes where its key puts it. Rows with equal keys
+    no tokens, smallest weight; it costs nothing and comes where its key puts it. Texts are counted whole;
+    a very long one that doesn't fit ends its source's prefix, as any other does. Null, NaN, negative and
+    small weights count as 0.05. Rows with equal keys
     in a source (repeated rows) are taken or left together. Empty table: empty result. Other columns are
     ignored, whatever their names, or passed through with rows. Exact at every size: only sums by
     (source, key bucket) and the one bucket in which a budget ends are ordered.
     """
-    base = docs.select("doc_id", "source", "text")
-    narrow, plan = sampling_plan(base, targets, ratio, alpha, seed)
+    narrow, plan = sampling_plan(docs, targets, ratio, alpha, seed, weight)
     plan = plan.select(F.col("source").alias("_plan_source"), F.col("epochs").alias("_plan_epochs"), F.col("last_key").alias("_plan_key"))
     copies = (F.col("_plan_epochs") + F.when(F.col("es_key") <= F.col("_plan_key"), 1).otherwise(0)).cast("bigint")
     if not rows:
         taken = narrow.join(plan, F.col("source").eqNullSafe(F.col("_plan_source")))
         return taken.select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
-    key = sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)
+    key = sampling_key(F.col("doc_id"), weight_of(weight), seed)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", key.alias("es_key"))
     taken = whole.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).select("_row", F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).alias("_n"))
     return taken.select("_row", F.explode("_n")).select("_row.*")
@@ -101,19 +113,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL = """
+def oracle_sql(targets: bool = False) -> str:
+    """DuckDB SQL of mix_sources over documents, with targets (source, weight) if asked for."""
+    share = "coalesce((SELECT max(weight) FROM targets t WHERE t.source IS NOT DISTINCT FROM have.source), 0)" if targets else "sqrt(have)"
+    return f"""
 WITH base AS (
   SELECT doc_id, source,
-         len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))::BIGINT AS n_tokens,
-         greatest(0.05, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\p{L}]+', '', 'g'))::DOUBLE / length(text) ELSE 0.0 END) AS w,
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS n_tokens,
+         greatest(0.05, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g'))::DOUBLE / length(text) ELSE 0.0 END) AS w,
          (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 keyed AS (SELECT doc_id, source, n_tokens, -ln(u) / w AS es_key FROM base),
 have AS (SELECT source, sum(n_tokens)::BIGINT AS have FROM keyed GROUP BY source),
-budget AS (SELECT source, have, floor(sum(have) OVER () * sqrt(have) / sum(sqrt(have)) OVER ())::BIGINT AS b FROM have),
+shares AS (SELECT source, have, {share} AS share FROM have),
+budget AS (SELECT source, have, coalesce(floor(sum(have) OVER () * share / nullif(sum(share) OVER (), 0)), 0)::BIGINT AS b FROM shares),
 plan AS (SELECT source, CASE WHEN have > 0 THEN b // have ELSE 0 END AS epochs, CASE WHEN have > 0 THEN b % have ELSE b END AS left_over FROM budget),
 cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY es_key RANGE UNBOUNDED PRECEDING) AS cum FROM keyed)
 SELECT doc_id, cum.source, n_tokens, (epochs + CASE WHEN cum <= left_over THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM cum JOIN plan ON cum.source IS NOT DISTINCT FROM plan.source
 WHERE epochs + CASE WHEN cum <= left_over THEN 1 ELSE 0 END > 0
 """
+
+
+ORACLE_SQL = oracle_sql()
