@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from corvane.plans import code_queries  # noqa: F401
+from corvane.plans import code_queries, inventory_queries  # noqa: F401
 from corvane.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
