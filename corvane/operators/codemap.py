@@ -218,6 +218,12 @@ def unused(symbols: DataFrame, files: DataFrame, limit: int = 8) -> DataFrame:
     return symbols.filter("visibility = 'public' AND coalesce(refs_in, 0) = 0").join(library, "path", "left_semi").select("id").orderBy("id").limit(limit)
 
 
+def unused_reexports(file_dep: DataFrame, limit: int = 8) -> DataFrame:
+    """(path): files that pass names on (kind reexport) and that no file imports, the first by path."""
+    passing = file_dep.filter("kind = 'reexport'").select(F.col("src").alias("path")).distinct()
+    return passing.join(file_dep.select(F.col("dst").alias("path")), "path", "left_anti").orderBy("path").limit(limit)
+
+
 def doc_links(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_path, target, score): documents and the names that they share most terms with. docs: path;
     targets: id, name."""

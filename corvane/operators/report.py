@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions import paths
 from corvane.functions.text import compact_signature, identifier_parts, normal_terms, token_estimate
 from corvane.operators import codemap, graph, inventory, quality, windows
 from corvane.session import cut_lineage
@@ -38,7 +39,9 @@ def sections(m: dict[str, DataFrame], max_files: int = 40) -> list[DataFrame]:
     deg = graph.degrees(edges)
     starts = code.filter("entry_role IS NOT NULL").select(F.col("path").alias("node"))
     arrow = lambda c: F.array_join(c, " -> ")
-    penalised = code.withColumn("priority", F.coalesce("score", F.lit(0.0)) + F.when(F.col("entry_role").isNotNull(), 2.0).otherwise(0.0) - F.when(F.col("role") == "test", 3.0).otherwise(0.0))
+    routed = m["api_contracts"].select("path", F.lit(1.0).alias("routed")).distinct()
+    weight = F.coalesce("score", F.lit(0.0)) + F.when(F.col("entry_role").isNotNull(), 2.0).otherwise(0.0) + F.coalesce("routed", F.lit(0.0)) + F.when(F.col("role") == "test", 0.8).otherwise(0.0) - paths.selection_penalty(F.col("path"))
+    penalised = code.join(routed, "path", "left").withColumn("priority", weight).drop("routed")
     chosen = windows.select_with_quota(penalised.withColumn("must", F.col("entry_role").isNotNull()), "must", "priority", "path", max_files)
     layers = code.select(F.col("path").alias("node"), "layer")
     tested = m["tests"].select(F.col("target").alias("node")).distinct()

@@ -102,3 +102,10 @@ def test_prune_keeps_other_edges(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     left = snapshots.prune(edges, spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([("c",)], "node string"))
     assert left.collect() == []
+
+
+def test_unused_reexports(spark):
+    from corvane.operators import codemap
+
+    dep = spark.createDataFrame([("a.ts", "x.ts", "reexport"), ("b.ts", "x.ts", "reexport"), ("c.ts", "b.ts", "import")], "src string, dst string, kind string")
+    assert [r["path"] for r in codemap.unused_reexports(dep).collect()] == ["a.ts"]
