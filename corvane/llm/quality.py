@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Every token bucket has a sparse random index vector; a bucket's word vector is the sum of the index
-vectors of its neighbours (two to each side) over the whole corpus. A document is the mean and the
-spread of its tokens' vectors. The network has one hidden layer and its probabilities are calibrated
-by a temperature fitted on held-out labels.
+Every word has a sparse random index vector; its word vector is the sum of the index vectors of its
+neighbours (two to each side) over the whole corpus. All words of the corpus are counted; those that
+make up MIN_SHARE of it have a vector of their own, rarer ones share BUCKETS vectors by their hash. A
+document is the mean and the spread of its tokens' vectors. The network has one hidden layer and its
+probabilities are calibrated by a temperature fitted on held-out labels.
 """
 
 from __future__ import annotations
@@ -13,54 +14,120 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corvane.llm import kernel
-from corvane.llm.tables import keep, table
+from corvane.llm.tables import drop, keep, table
 
-VOCABULARY, DIMENSIONS, NONZERO, REACH = 1 << 14, 48, 4, 2
+#: Least share of all tokens of a word with a vector of its own: there are 1 / MIN_SHARE such words at
+#: most, however large the corpus is, so that their table can go to every executor.
+MIN_SHARE = 2e-6
+BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 48, 4, 2
 BLOCKS, FAN_IN = 16, 64
 MAX_TRAIN = 20_000
 TOKENS_AT_ONCE = 1 << 16
+HELD_WORDS = 1 << 19
 
 
-def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs), each VOCABULARY x NONZERO."""
-    r = kernel.mix(np.arange(VOCABULARY * NONZERO, dtype=np.uint64) + np.uint64(seed << 32))
-    return (r % np.uint64(DIMENSIONS)).astype(np.int32).reshape(-1, NONZERO), np.where(r >> np.uint64(63), 1.0, -1.0).reshape(-1, NONZERO)
+class Vocabulary:
+    """Places of tokens: 0 .. BUCKETS - 1 for rare words by hash, then the words (sorted hashes)."""
 
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.size = BUCKETS + len(words)
+        slot = (words >> np.uint64(44)).astype(np.int64)
+        #: by the first 20 bits: the one word there (-1 none, -2 several)
+        self.direct = np.full(1 << 20, -1, np.int32)
+        self.direct[slot] = np.arange(len(words))
+        self.direct[slot[1:][slot[1:] == slot[:-1]]] = -2
 
-def buckets(tokens: kernel.Tokens) -> np.ndarray:
-    return (tokens.hash >> np.uint64(64 - 14)).astype(np.int32)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        out = (hashes >> np.uint64(50)).astype(np.int32)
+        if not len(self.words):
+            return out
+        at = self.direct[(hashes >> np.uint64(44)).astype(np.int64)]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.words, hashes[several]), len(self.words) - 1)
+        some = np.flatnonzero(at >= 0)
+        some = some[self.words[at[some]] == hashes[some]]
+        out[some] = BUCKETS + at[some]
+        return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, signs = index_vectors()
-    # a column for each place and sign, so that plain counting is enough; a bucket's columns in one word
-    columns = np.ascontiguousarray(places + DIMENSIONS * (signs < 0), np.int16).view(np.uint64).ravel()
-    total = np.zeros(VOCABULARY * 2 * DIMENSIONS, np.int64)
-    any_rows = False
+def index_vectors(hashes: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, signs), NONZERO of them for each of hashes (words', or bucket numbers)."""
+    r = kernel.mix(hashes[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64) + np.uint64(seed << 32))
+    return (r % np.uint64(DIMENSIONS)).astype(np.int32), np.where(r >> np.uint64(63), 1.0, -1.0)
+
+
+def _tokens(texts: list[str | None]) -> kernel.Tokens:
+    return kernel.tokenize(texts, punctuation=True, lowered=False)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): counts of the words, summed over about HELD_WORDS distinct ones at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, which = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def batch() -> pa.RecordBatch:
+        words, n = held[0]
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
     for texts in (texts for b in batches for _, _, texts in kernel.chunks(b.column(0))):
-        any_rows = True
-        tokens = kernel.tokenize(texts, punctuation=True, lowered=False)
-        ids, doc = buckets(tokens), tokens.doc
-        for step in range(1, REACH + 1):
-            if len(ids) <= step:
-                continue
-            near = doc[step:] == doc[:-step]
-            a, b = ids[step:][near], ids[:-step][near]
-            for centre, other in ((a, b), (b, a)):
-                cells = columns[other].view(np.int16).reshape(-1, NONZERO) + (centre * (2 * DIMENSIONS))[:, None]
-                total += np.bincount(cells.ravel(), minlength=len(total))
-    if any_rows:
-        plus, minus = np.moveaxis(total.reshape(VOCABULARY, 2, DIMENSIONS), 1, 0)
-        total = (plus - minus).ravel()
-        # float32 halves what is moved; whole numbers up to 2**24 stay exact, larger ones to 7 digits
-        parts = total.astype(np.float32).reshape(BLOCKS, -1)
-        part = kernel.mix(np.array([hash(total.tobytes()) & (2**63 - 1)], np.uint64))[0] >> np.uint64(1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([int(part)] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part", "sums"])
+        held.append(np.unique(_tokens(texts).hash, return_counts=True))
+        if sum(len(w) for w, _ in held) > HELD_WORDS:
+            held[:] = [merged()]
+            if len(held[0][0]) > HELD_WORDS // 2:
+                yield batch()
+                held.clear()
+    if held:
+        held[:] = [merged()]
+        yield batch()
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The words of docs that make up MIN_SHARE of its tokens."""
+    counts = keep(docs.select("text").mapInArrow(_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    words = counts.filter(F.col("n") >= MIN_SHARE * total).select("word").toArrow().column("word").to_numpy()
+    drop(counts)
+    return Vocabulary(np.sort(words.view(np.uint64)))
+
+
+def _count(shared) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        places, signs = index_vectors(np.concatenate([np.arange(BUCKETS, dtype=np.uint64), known.words]))
+        # a column for each place and sign, so that plain counting is enough; a word's columns in one number
+        columns = np.ascontiguousarray(places + DIMENSIONS * (signs < 0), np.int16).view(np.uint64).ravel()
+        total = np.zeros(known.size * 2 * DIMENSIONS, np.int32)
+        any_rows = False
+        for texts in (texts for b in batches for _, _, texts in kernel.chunks(b.column(0), kernel.CHUNK // 2)):
+            any_rows = True
+            tokens = _tokens(texts)
+            ids, doc = known.places(tokens.hash), tokens.doc
+            cells = []
+            for step in range(1, REACH + 1):
+                near = doc[step:] == doc[:-step]
+                a, b = ids[step:][near], ids[:-step][near]
+                for centre, other in ((a, b), (b, a)):
+                    cells.append((columns[other].view(np.int16).reshape(-1, NONZERO) + (centre * np.int32(2 * DIMENSIONS))[:, None]).ravel())
+            # sorted first, so that no array of the table's size is made for a chunk
+            found, times = np.unique(np.concatenate(cells), return_counts=True)
+            total[found] += times.astype(np.int32)
+        if any_rows:
+            plus, minus = np.moveaxis(total.reshape(known.size, 2, DIMENSIONS), 1, 0)
+            # float32 halves what is moved; whole numbers up to 2**24 stay exact, larger ones to 7 digits
+            parts = np.array_split((plus - minus).ravel().astype(np.float32), BLOCKS)
+            part = kernel.mix(np.array([hash(total.tobytes()) & (2**63 - 1)], np.uint64))[0] >> np.uint64(1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([int(part)] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "part", "sums"])
+
+    return run
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -68,10 +135,11 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """VOCABULARY x DIMENSIONS, unit length, from every token of every document. Partitions sum their
-    own table; the sums are added FAN_IN at a time."""
-    parts = docs.select("text").mapInArrow(_count, "block int, part bigint, sums binary")
+def word_vectors(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and a vector of unit length for each of its places, from every token of every
+    document. Partitions sum their own table; the sums are added FAN_IN at a time."""
+    known = vocabulary(docs)
+    parts = docs.select("text").mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(known)), "block int, part bigint, sums binary")
     left = max(1, docs.rdd.getNumPartitions())
     schema = parts.schema
     while True:
@@ -80,18 +148,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if groups == 1:
             break
         left = groups
-    total = np.zeros((BLOCKS, VOCABULARY * DIMENSIONS // BLOCKS), np.float64)
-    for row in parts.toLocalIterator():
-        total[row["block"]] = np.frombuffer(row["sums"], np.float32)
-    total = total.reshape(VOCABULARY, DIMENSIONS)
+    blocks = {row["block"]: np.frombuffer(row["sums"], np.float32).astype(np.float64) for row in parts.toLocalIterator()}
+    total = np.concatenate([blocks[i] for i in range(BLOCKS)]) if blocks else np.zeros(known.size * DIMENSIONS)
+    total = total.reshape(known.size, DIMENSIONS)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return (total / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return known, (total / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+def pool(texts: list[str | None], known: Vocabulary, vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of each text's token vectors; zeros without tokens."""
-    tokens = kernel.tokenize(texts, punctuation=True, lowered=False)
-    ids, doc = buckets(tokens), tokens.doc
+    tokens = _tokens(texts)
+    ids, doc = known.places(tokens.hash), tokens.doc
     d = vectors.shape[1]
     sums, squares = np.zeros((len(texts), d)), np.zeros((len(texts), d))
     for at in range(0, len(ids), TOKENS_AT_ONCE):
@@ -168,39 +235,54 @@ def _pool_rows(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, texts in kernel.chunks(batch.column(1)):
-                x = pool(texts, shared.value)
+                x = pool(texts, *shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, Network]:
-    """(word vectors, network). The vectors come from all documents; the network from the labelled
-    ones, or, of more than max_train, those of the least hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train: int = MAX_TRAIN) -> tuple[Vocabulary, np.ndarray, Network]:
+    """(vocabulary, word vectors, network). The vectors come from all documents; the network from the
+    labelled ones, or, of more than max_train, those of the least hash of doc_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = word_vectors(docs)
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
-    chosen = keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labels")
-    shared = spark.sparkContext.broadcast(vectors)
+    known, vectors = word_vectors(docs)
+    labelled = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
+    chosen = keep(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labels")
+    shared = spark.sparkContext.broadcast((known, vectors))
     rows = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_pool_rows(shared), "y double, x array<float>").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(rows.num_rows, 2 * DIMENSIONS)
     y = rows.column("y").to_numpy()
     order = np.lexsort((*x.T[:4], y)) if len(x) else np.arange(0)
-    return vectors, Network.fit(x[order], (y[order] >= 0.5).astype(float))
+    return known, vectors, Network.fit(x[order], (y[order] >= 0.5).astype(float))
+
+
+def _probabilities(texts: list[str | None], model: tuple[Vocabulary, np.ndarray, Network]) -> np.ndarray:
+    known, vectors, net = model
+    return np.where([bool(t and not t.isspace()) for t in texts], net.probability(pool(texts, known, vectors)), 0.0).astype(np.float64)
 
 
 def _score(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = shared.value
         for batch in batches:
             for low, high, texts in kernel.chunks(batch.column("text")):
-                p = np.where([bool(t and not t.isspace()) for t in texts], net.probability(pool(texts, vectors)), 0.0)
-                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pa.array(p.astype(np.float64))], [*batch.schema.names, "p_quality"])
+                p = _probabilities(texts, shared.value)
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns), pa.array(p)], [*batch.schema.names, "p_quality"])
 
     return run
 
 
+def p_quality(docs: DataFrame, model: tuple[Vocabulary, np.ndarray, Network]) -> Column:
+    """The probability of docs' text as a column: only texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(DoubleType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0), *(_probabilities(t, shared.value) for _, _, t in kernel.chunks(texts))]))
+
+    return run(F.col("text").cast("string"))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN, rows: bool = False) -> DataFrame:
     """(doc_id, p_quality, is_kept) of every row; with rows, the input's columns of the rows that are
     kept.
@@ -211,15 +293,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ma
     Without labels everything that has tokens is kept. Texts are pooled whole. Empty table: empty result.
     Other columns are ignored, whatever their names, or passed through with rows.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels, "quality", max_train))
-    if not rows:
-        narrow = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-        scored = narrow.mapInArrow(_score(shared), StructType([*narrow.schema, StructField("p_quality", DoubleType())])).drop("text")
-        return scored.select("doc_id", F.round("p_quality", 6).alias("p_quality"), (F.col("p_quality") >= threshold).alias("is_kept"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    scored = packed.mapInArrow(_score(shared), StructType([*packed.schema, StructField("p_quality", DoubleType())]))
-    return scored.filter(F.col("p_quality") >= threshold).select("row.*")
+    model = train(docs, labels, "quality", max_train)
+    if rows:
+        return docs.filter(p_quality(docs, model) >= threshold)
+    narrow = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = narrow.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), StructType([*narrow.schema, StructField("p_quality", DoubleType())])).drop("text")
+    return scored.select("doc_id", F.round("p_quality", 6).alias("p_quality"), (F.col("p_quality") >= threshold).alias("is_kept"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
