@@ -17,27 +17,60 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: those whose probability is below one half. Word
+    vectors come from all of docs, the network from the labelled ones.
+
+    Null, empty and blank texts have probability 0 and go. Very long texts are judged whole. Rows with a
+    null doc_id are judged like others. Repeated rows go or stay together. Empty docs: empty result.
+    Columns of any name pass through.
+    """
     return quality.score_quality(docs, table(spark, sf_dir, "labels"), rows=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the least doc_id."""
+    """One document of each group of near duplicates stays, the one of the least doc_id.
+
+    Texts without words (null, empty, only punctuation) and rows with a null doc_id stay. Very long
+    texts are compared whole. Of rows that repeat doc_id and text one stays, the least by its other
+    columns. Empty docs: empty result. Columns of any name pass through.
+    """
     return minhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a run of 13 words with a benchmark item go."""
+    """Documents that share a run of 13 words with a benchmark item go.
+
+    Null and empty texts and rows with a null doc_id stay. Very long texts are searched whole. Repeated
+    rows go or stay together, with all rows of their doc_id. Empty docs or benchmark: docs as they are.
+    Columns of any name pass through.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are sampled to their token budgets; a document that is taken twice is there twice."""
-    return mixing.mix_sources(docs, rows=True)
+    """Sources are sampled to their token budgets; a document that is taken twice is there twice. Keys are
+    scaled by the classifier's probability, trained on all documents as they were before any stage.
+
+    Null, empty and blank texts have the smallest weight and no tokens. Very long texts are counted
+    whole; one that doesn't fit ends its source's prefix. Rows with a null doc_id share one random
+    number; a null source is a source of its own. Repeated rows, and ties in the key, are taken or left
+    together. Empty docs: empty result. Columns of any name pass through.
+    """
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    name = "_p_quality"
+    while name in docs.columns:
+        name += "_"
+    weighted = keep(docs.withColumn(name, quality.p_quality(docs, model)), "weighted")
+    return mixing.mix_sources(weighted, rows=True, weight=name).drop(name)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids by shard, with the index of their keys."""
+    """Token ids by shard, with the index of their keys (doc_id, copy).
+
+    Null texts have null ids, empty ones empty ids. Very long texts are encoded whole. Rows with a null
+    doc_id are kept, spread over the shards. Repeated rows are copies 0, 1, ... of their doc_id. Empty
+    docs: empty result. Other columns are ignored, whatever their names.
+    """
     return tokens.token_index(docs)
 
 
@@ -49,7 +82,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_ids", write_token_ids),
 ]
 
-#: Signatures, fingerprints, trained weights and BPE have no SQL; tests/llm/test_pipeline.py compares each stage with its operator's own result, tests/llm/test_operators.py the operators with brute force.
+#: Signatures, fingerprints, trained weights and BPE have no SQL; tests/llm/test_pipeline.py compares the stages after the classifier with brute force and plain loops, the classifier with its operator's result (which tests/llm/test_operators.py checks).
 ORACLE_SQL = None
 
 
