@@ -66,6 +66,32 @@ def test_nasty_rows(spark, name):
         assert set(EXTRA) <= set(found[0].asDict()) and found[0]["hub"] == "clash"
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 1.0, "b": 3.0}, {None: 1.0}, {"a": 0.0}])
+def test_mixing_of_nasty_rows_matches_sql(spark, targets):
+    import duckdb
+
+    docs = nasty(spark)
+    db = duckdb.connect()
+    db.register("documents", docs.select("doc_id", "source", "text").toPandas().astype({"doc_id": "Int64"}))
+    given = None
+    if targets is not None:
+        db.execute("CREATE TABLE targets (source VARCHAR, weight DOUBLE)")
+        db.executemany("INSERT INTO targets VALUES (?, ?)", list(targets.items()))
+        given = spark.createDataFrame(list(targets.items()), "source string, weight double")
+    want = sorted(db.execute(mixing.oracle_sql(targets is not None)).fetchall(), key=repr)
+    assert sorted((tuple(r) for r in mixing.mix_sources(docs, given).collect()), key=repr) == want
+    assert mixing.mix_sources(docs, given, rows=True).count() == sum(r[3] for r in want)
+
+
+def test_kept_rows_are_those_that_score(spark):
+    docs = nasty(spark)
+    kept = sorted((r["doc_id"] for r in quality.score_quality(docs, labels(spark), rows=True).collect()), key=repr)
+    scored = quality.score_quality(docs, labels(spark)).collect()
+    assert kept == sorted((r["doc_id"] for r in scored if r["is_kept"]), key=repr)
+    assert {r["doc_id"] for r in scored if r["p_quality"] == 0} >= {2, 3, 4} and not {2, 3, 4} & set(kept)
+    assert len({r["p_quality"] for r in scored if r["doc_id"] in (5, 6)}) == 1
+
+
 @pytest.mark.parametrize("name", RUNS)
 def test_empty_tables(spark, name):
     assert RUNS[name](spark, nasty(spark).limit(0), True).collect() == []
@@ -77,12 +103,12 @@ def test_without_labels_or_benchmark(spark, name):
 
 
 def test_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 0.1]), (3, None), (None, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (7, []), (8, [1.0, 0.1])]
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 0.1]), (3, None), (None, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (7, []), (8, [1.0, 0.1]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0])]
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in EXTRA})
-    got = {(r["vec_id"], r["neighbour_id"]) for r in neighbours.nearest_neighbours(df, 3).collect()}
-    assert got == {(a, b) for a in (1, 2, 8) for b in (1, 2, 8) if a != b}
+    got = sorted((r["vec_id"], r["rank"], r["neighbour_id"]) for r in neighbours.nearest_neighbours(df, 3).collect())
+    assert got == [(1, 1, 2), (1, 2, 8), (2, 1, 8), (2, 2, 1), (8, 1, 2), (8, 2, 1)]  # 2 and 8 are equal: the least id first
     assert neighbours.nearest_neighbours(df.limit(0)).collect() == []
 
 
@@ -100,6 +126,7 @@ def test_conversations(spark):
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_survive_nasty_rows(spark, tmp_path, k):
     benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    nasty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     docs = nasty(spark)
     for d in (docs, docs.limit(0)):

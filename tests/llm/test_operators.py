@@ -46,7 +46,54 @@ def test_grammar_scores_clauses():
     texts = ["You are an idiot.", "You are not an idiot.", "She said: you idiot.", "I will kill you.", "They kill time.", "an idiot plan", "nothing here", None, ""]
     score = toxicity.score_texts(texts, lexicon, g)[0]
     assert score[0] == 1.25 and score[1] == 0 and 0 < score[2] < score[0] and score[5] == 0.85
-    assert score[3] < score[0] and score[6] == score[7] == score[8] == 0
+    assert score[3] == 2.5 and score[6] == score[7] == score[8] == 0
+
+
+def test_threats_are_found():
+    g, lexicon = toxicity.grammar(), toxicity.Lexicon.base()
+    threats = ["I will kill you.", "I will murder you tonight!", "Kill yourself.", "I'm going to strangle her.", "Ich werde dich umbringen.", "we will lynch all of them"]
+    assert (toxicity.score_texts(threats, lexicon, g)[0] >= toxicity.THRESHOLD).all()
+    mild = ["I will never kill you.", "He said: I will kill you.", "Don't kill yourself over it.", "kill the process. You can restart it.", "to kill time", "stab, then you"]
+    assert (toxicity.score_texts(mild, lexicon, g)[0] < toxicity.THRESHOLD).all()
+
+
+def plain_score(text, lexicon):
+    """The rules of the docstring, each by looking back from its word; no transducers."""
+    T = toxicity
+    known = dict(zip(lexicon.words.tolist(), lexicon.classes.tolist()))
+    c = [known.get(kernel.word_hash(w), T.OTHER) for w in re.findall(r"\w+|[^\w\s]+", text.lower())]
+
+    def back(i, reach, wanted, stops):
+        for j in range(i - 1, max(-1, i - reach - 1), -1):
+            if wanted(j):
+                return True
+            if c[j] in stops:
+                return False
+        return False
+
+    ends, strong = (T.CLAUSE, T.SENTENCE), (T.INSULT, T.THREAT)
+    denied = [x in strong and back(i, 3, lambda j: c[j] == T.NEGATION, ends) for i, x in enumerate(c)]
+    quoted = [x in strong and not denied[i] and back(i, 12, lambda j: c[j] == T.REPORT, (T.SENTENCE,)) for i, x in enumerate(c)]
+    aimed = [x in strong and not denied[i] and not quoted[i] and back(i, 5, lambda j: c[j] == T.TARGET, ends) for i, x in enumerate(c)]
+    bare = [x in strong and not (denied[i] or quoted[i] or aimed[i]) for i, x in enumerate(c)]
+    total = 0.0
+    for i, x in enumerate(c):
+        if x in strong and not denied[i]:
+            total += 0.34 if quoted[i] else (1.25 if x == T.INSULT else 2.5) if aimed[i] else 0.85 if x == T.INSULT else 0.4
+        elif x == T.TARGET:
+            if back(i, 5, lambda j: bare[j] and c[j] == T.THREAT, (*ends, T.TARGET)):
+                total += 2.1
+            elif back(i, 5, lambda j: bare[j] and c[j] == T.INSULT, ends):
+                total += 0.25
+    return total
+
+
+def test_composition_matches_plain_rules():
+    rng = random.Random(15)
+    vocabulary = ["you", "idiot", "not", "said", "kill", "they", "word", ".", ",", "trash", "stab", "a", "b", "c", "d", "e"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(80))) for _ in range(300)]
+    g, lexicon = toxicity.grammar(), toxicity.Lexicon.base()
+    assert np.allclose(toxicity.score_texts(texts, lexicon, g)[0], [plain_score(t, lexicon) for t in texts])
 
 
 def slow_score(text, lexicon, machine):
@@ -107,36 +154,61 @@ def test_perfect_hash_is_minimal():
         assert all(tokens.find_slot(int(x), pilots, n) == s for x, s in zip(h, slots))
 
 
-def test_token_index_round_trip(spark):
-    rows = [(i, f"text {i} é" * (i % 5), "a") for i in range(300)] + [(7, "another seven", "a"), (None, "no id", "a"), (400, None, "a")]
+def test_token_index_round_trip(spark, tmp_path):
+    rows = [(i, f"text {i} é" * (i % 5), "a") for i in range(300)] + [(7, "another seven", "a"), (None, "no id", "a"), (None, "none here", "a"), (400, None, "a")]
     index = tokens.token_index(docs_of(spark, rows), docs_per_shard=50)
-    packed = {r["shard"]: tokens.read_packed(r) for r in tokens.pack_shards(index).collect()}
+    tokens.pack_shards(index).repartitionByRange(4, "shard").sortWithinPartitions("shard").write.parquet(f"{tmp_path}/packed")
+    packed = spark.read.parquet(f"{tmp_path}/packed")
     plain = tokens.Encoder(tokens.load_ranks()).plain
-    where = {(r["doc_id"], r["copy"]): r["shard"] for r in index.select("doc_id", "copy", "shard").collect()}
-    found = {k: packed[s].get(*k) for k, s in where.items()}
-    decoded = sorted((k[0] is None, k[0] or 0, plain.decode(v.tolist())) for k, v in found.items())
-    assert decoded == sorted((i is None, i or 0, t or "") for i, t, _ in rows)
-    assert all(r.get(10**9) is None for r in packed.values())
-    r = next(iter(index.collect()))
-    assert plain.decode(np.frombuffer(bytes(r["ids"] or b""), "<u2").tolist()) in {t or "" for _, t, _ in rows}
+    # from the key alone: its shard, its slot, its ids
+    assert plain.decode(tokens.find(packed, 42).tolist()) == rows[42][1]
+    assert tokens.find(packed, 10**9) is None and tokens.find(packed, 42, 1) is None and tokens.find(packed.limit(0), 42) is None
+    keys = [(i, 0) for i in range(300)] + [(7, 1), (400, 0), (10**9, 0), (42, 5)]
+    found = {(r["doc_id"], r["copy"]): r for r in tokens.lookup(packed, spark.createDataFrame([*keys, (None, 0)], "doc_id long, copy int")).collect()}
+    assert set(found) == set(keys) and all(found[k]["ids"] is None for k in keys[-2:])
+    decoded = sorted((k[0], plain.decode(np.frombuffer(bytes(found[k]["ids"]), "<u2").tolist())) for k in keys[:-2])
+    assert decoded == sorted((i, t or "") for i, t, _ in rows if i is not None)
+    readers = {r["shard"]: tokens.read_packed(r) for r in packed.collect()}
+    nulls = index.filter("doc_id IS NULL").collect()
+    assert sorted(plain.decode(readers[r["shard"]].get(None, r["copy"]).tolist()) for r in nulls) == ["no id", "none here"]
+    assert {r["n_shards"] for r in index.collect()} == {7}
 
 
 # --- 3 ------------------------------------------------------------------------------------------
 
 
-def test_neighbour_recall(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(700, 24)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+def recall(x, y, got, k=10, apart=False):
+    """Share of the k exact neighbours among y of each row of x that are in got."""
+    u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    sims = u @ v.T
+    if not apart:
+        np.fill_diagonal(sims, -9)
+    want = np.argsort(-sims, 1)[:, :k]
+    return np.mean([len({n for _, n in got[i]} & set(want[i].tolist())) / k for i in range(len(x))])
+
+
+def neighbours_by_row(rows):
     got: dict[int, list] = {}
-    for r in neighbours.nearest_neighbours(df, 10).collect():
+    for r in rows:
         got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sims = u @ u.T
-    np.fill_diagonal(sims, -9)
-    want = np.argsort(-sims, 1)[:, :10]
-    recall = np.mean([len({n for _, n in got[i]} & set(want[i].tolist())) / 10 for i in range(len(x))])
-    assert recall >= 0.9 and all(sorted(r for r, _ in v) == list(range(1, 11)) for v in got.values())
+    return got
+
+
+@pytest.mark.parametrize("n", [300, 2500])
+def test_neighbour_recall(spark, n):
+    x = np.random.default_rng(0).normal(size=(n, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = neighbours_by_row(neighbours.nearest_neighbours(df, 10).collect())
+    assert recall(x, x, got) >= 0.95 and all(sorted(r for r, _ in v) == list(range(1, 11)) for v in got.values())
+
+
+def test_neighbours_of_other_vectors(spark):
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(1500, 24)).astype(np.float32), rng.normal(size=(200, 24)).astype(np.float32)
+    vectors = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(None, [1.0] * 24), (10**6, [1.0])], "vec_id long, embedding array<float>")
+    got = neighbours_by_row(neighbours.search_neighbours(vectors(q), vectors(x), 10).collect())
+    assert set(got) == set(range(200)) and recall(q, x, got, apart=True) >= 0.9
+    assert neighbours.search_neighbours(vectors(q), vectors(x).limit(0)).collect() == []
 
 
 # --- 4 ------------------------------------------------------------------------------------------
@@ -197,6 +269,55 @@ def test_em_finds_the_bad_labeler():
     assert min(hits[:2]) > hits[2] and np.mean(post[which.ravel()].argmax(1) == true) > 0.8
 
 
+def plain_em(patterns, counts, rounds):
+    """Dawid-Skene by loops over single votes, with the same start and smoothing."""
+    k, abstain = pii.K, pii.ABSTAIN
+    post = []
+    for row in patterns:
+        p = [0.1 / k + sum(v == t for v in row) for t in range(k)]
+        post.append([x / sum(p) for x in p])
+    for _ in range(rounds):
+        shares = [1.0 + sum(n * p[t] for n, p in zip(counts, post)) for t in range(k)]
+        shares = [x / sum(shares) for x in shares]
+        rates = []
+        for j in range(len(patterns[0])):
+            table = [[0.1 + (v == t) + (v == k) for v in range(k + 1)] for t in range(k)]
+            for row, n, p in zip(patterns, counts, post):
+                for t in range(k):
+                    table[t][k if row[j] == abstain else row[j]] += n * p[t]
+            rates.append([[x / sum(line) for x in line] for line in table])
+        post = []
+        for row in patterns:
+            p = list(shares)
+            for j, v in enumerate(row):
+                p = [x * rates[j][t][k if v == abstain else v] for t, x in enumerate(p)]
+            post.append([x / sum(p) for x in p])
+    return post
+
+
+def test_em_matches_plain_loops():
+    rng = np.random.default_rng(3)
+    patterns = np.unique(rng.integers(-1, 4, (60, 5)), axis=0)
+    counts = rng.integers(1, 50, len(patterns))
+    for rounds in (1, 2, 7):
+        post, _, _ = pii.expectation_maximisation(patterns, counts, rounds)
+        assert np.allclose(post, plain_em(patterns.tolist(), counts.tolist(), rounds), atol=1e-6)
+
+
+def test_private_spans_of_long_texts():
+    import time
+
+    for unit in ("a.", "a-", "token", "token=", "@", 'token="', "1.", "a"):
+        text = unit * (1_000_000 // len(unit)) + "1 me@mail.example.com"
+        began = time.perf_counter()
+        found = pii.candidates(text)
+        assert time.perf_counter() - began < 15 and text[slice(*found[-1])].endswith("me@mail.example.com")
+    key = "k9" * 50_000
+    (a, b), = pii.candidates(f'the password is "{key}" here')
+    assert (b - a) == len(key) and pii.features(key, 'the password is "')
+    assert pii.candidates("a secret: password = hunter22") == [(21, 29)]
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 
@@ -294,6 +415,20 @@ def test_repeated_spans_match_brute_force(spark):
     assert got == covered(texts, 50)
 
 
+def test_repeated_spans_of_hot_prints(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 3)
+    test_repeated_spans_match_brute_force(spark)
+
+
+@pytest.mark.parametrize("span", [13, 257, 300])
+def test_repeated_spans_of_any_length(spark, span):
+    rng = random.Random(span)
+    passages = [prose(rng, n) for n in (span - 1, span, span + 1, 2 * span + 30)]
+    texts = {i: " ".join([prose(rng, rng.randrange(40)), passages[i % 4], prose(rng, rng.randrange(40))]) for i in range(12)}
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_spans(docs_of(spark, [(i, t, "a") for i, t in texts.items()]), span=span).collect()}
+    assert got == covered(texts, span) and len(got) == 9
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
@@ -366,6 +501,32 @@ def test_near_duplicates_split_large_buckets(spark, monkeypatch):
     test_near_duplicates_of_a_matched_member(spark)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 4, 8])
+def test_near_duplicates_near_the_threshold(spark, rows):
+    """Estimates of 0.45 to 0.65 and every number of rows: all pairs that share a band, and no others."""
+    rng = random.Random(40 + rows)
+    texts = {}
+    for g in range(12):
+        base = prose(rng, 200).split()
+        for k in range(5):
+            texts[g * 10 + k] = " ".join(f"y{rng.random()}" if k and rng.random() < 0.02 + 0.025 * k else w for w in base)
+    ids = list(texts)
+    sigs, _ = minhash.signatures([texts[i] for i in ids])
+    n = minhash.BINS // rows
+    bands = sigs[:, : n * rows].reshape(len(ids), n, rows)
+    root, near = {i: i for i in ids}, 0
+    for x in range(len(ids)):
+        for y in range(x):
+            sim = (sigs[x] == sigs[y]).mean()
+            near += 0.5 <= sim <= 0.6
+            if sim >= minhash.THRESHOLD and (bands[x] == bands[y]).all(1).any():
+                old, new = sorted((root[ids[x]], root[ids[y]]), reverse=True)
+                root = {i: new if r == old else r for i, r in root.items()}
+    assert near > 5
+    got = {(r["doc_id"], r["kept_id"]) for r in minhash.near_duplicates(docs_of(spark, [(i, t, "a") for i, t in texts.items()]), rows=rows).collect()}
+    assert got == {(i, r) for i, r in root.items() if i != r}
+
+
 def test_signatures_estimate_jaccard():
     rng = random.Random(9)
     base = prose(rng, 400).split()
@@ -428,20 +589,56 @@ def test_quality_held_out(spark):
     assert -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() < 0.15
 
 
-def test_word_vectors_match_plain_counts(spark):
-    texts = ["a b c d", "b a. x", "", None]
-    got = quality.word_vectors(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
-    places, signs = quality.index_vectors()
-    total = np.zeros((quality.VOCABULARY, quality.DIMENSIONS))
-    for t in texts:
-        found = kernel.tokenize([t], punctuation=True, lowered=False)
-        ids = quality.buckets(found).tolist()
-        for i, w in enumerate(ids):
-            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+@pytest.mark.parametrize("share", [0.0, 0.2, 1.1])
+def test_word_vectors_match_plain_counts(spark, monkeypatch, share):
+    """Words with vectors of their own, and words that share them by hash."""
+    monkeypatch.setattr(quality, "MIN_SHARE", share)
+    texts = ["a b c d", "b a. x", "", None, "a b a b a b"]
+    known, got = quality.word_vectors(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    found = [re.findall(r"\w+|[^\w\s]+", t or "") for t in texts]
+    count: dict = {}
+    for w in (w for t in found for w in t):
+        count[w] = count.get(w, 0) + 1
+    own = {w for w, n in count.items() if n >= share * sum(count.values())}
+    assert len(known.words) == len(own) == {0.0: 6, 0.2: 2, 1.1: 0}[share]
+    hashes = {w: kernel.tokenize([w], punctuation=True, lowered=False).hash[0] for w in count}
+    name = {w: hashes[w] if w in own else hashes[w] >> np.uint64(50) for w in count}
+    total: dict = {}
+    for t in found:
+        for i, w in enumerate(t):
+            for j in range(max(0, i - 2), min(len(t), i + 3)):
                 if j != i:
-                    np.add.at(total[w], places[ids[j]], signs[ids[j]])
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    assert np.allclose(got, total / np.where(norm > 0, norm, 1), atol=1e-6)
+                    places, signs = quality.index_vectors(np.array([name[t[j]]], np.uint64))
+                    np.add.at(total.setdefault(name[w], np.zeros(quality.DIMENSIONS)), places[0], signs[0])
+    for w in count:
+        v = total[name[w]]
+        assert np.allclose(got[known.places(np.array([hashes[w]], np.uint64))[0]], v / max(np.linalg.norm(v), 1e-12), atol=1e-6)
+
+
+def test_vocabulary_places():
+    rng = np.random.default_rng(2)
+    words = np.sort(np.unique(np.concatenate([rng.integers(0, 2**63, 5000, np.uint64), np.arange(50, dtype=np.uint64) + (np.uint64(7) << np.uint64(44))])))
+    known = quality.Vocabulary(words)
+    assert (known.places(words) == quality.BUCKETS + np.arange(len(words))).all()
+    other = np.setdiff1d(np.concatenate([rng.integers(0, 2**63, 5000, np.uint64), np.arange(50, 90, dtype=np.uint64) + (np.uint64(7) << np.uint64(44))]), words)
+    assert (known.places(other) == (other >> np.uint64(50)).astype(int)).all()
+
+
+def test_network_and_temperature_match_plain_numbers():
+    """The probability by single multiplications, and the temperature by a finer search."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6))
+    y = (x[:, 0] * x[:, 1] + 0.5 * rng.normal(size=600) > 0).astype(float)
+    net = quality.Network.fit(x, y, epochs=20)
+    for row in x[:20]:
+        z = [(a - m) / s for a, m, s in zip(row, net.mean, net.scale)]
+        h = [max(0.0, sum(z[i] * net.w1[i, j] for i in range(6)) + net.b1[j]) for j in range(len(net.b1))]
+        logit = sum(a * b for a, b in zip(h, net.w2)) + net.b2
+        assert abs(net.probability(row[None, :])[0] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
+    held = np.random.default_rng(0).permutation(600)[:120]
+    loss = lambda t: -np.mean(np.log(np.where(y[held] == 1, 1 / (1 + np.exp(-net.logits(x[held]) / t)), 1 / (1 + np.exp(net.logits(x[held]) / t)))))
+    best = min(np.geomspace(0.25, 8, 400), key=loss)
+    assert loss(net.temperature) <= loss(best) + 1e-3
 
 
 # --- 10 -----------------------------------------------------------------------------------------
