@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DOCS_PER_SHARD = 2048
 KEYS_PER_BUCKET = 4
-CACHE = 800_000
+CACHE = 250_000
 BLOCK = 1 << 20
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
