@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corvane.llm import kernel
-from corvane.llm.tables import drop, keep, table
+from corvane.llm.tables import drop, keep, small_batches, table
 
 #: Least share of all tokens of a word with a vector of its own: there are 1 / MIN_SHARE such words at
 #: most, however large the corpus is, so that their table can go to every executor.
@@ -148,7 +148,8 @@ def word_vectors(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         if groups == 1:
             break
         left = groups
-    blocks = {row["block"]: np.frombuffer(row["sums"], np.float32).astype(np.float64) for row in parts.toLocalIterator()}
+    with small_batches(docs.sparkSession):
+        blocks = {row["block"]: np.frombuffer(row["sums"], np.float32).astype(np.float64) for row in parts.toLocalIterator()}
     total = np.concatenate([blocks[i] for i in range(BLOCKS)]) if blocks else np.zeros(known.size * DIMENSIONS)
     total = total.reshape(known.size, DIMENSIONS)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -250,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_train
     labelled = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
     chosen = keep(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labels")
     shared = spark.sparkContext.broadcast((known, vectors))
-    rows = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_pool_rows(shared), "y double, x array<float>").toArrow()
+    with small_batches(spark):
+        rows = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_pool_rows(shared), "y double, x array<float>").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(rows.num_rows, 2 * DIMENSIONS)
     y = rows.column("y").to_numpy()
     order = np.lexsort((*x.T[:4], y)) if len(x) else np.arange(0)

@@ -8,6 +8,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import minhash, quality, tokens
@@ -89,3 +91,25 @@ def test_stages_one_by_one(spark):
         got[r["doc_id"]] += 1
     assert got == wanted
     assert all(d.columns == raw.columns for d in seen[1:-1])
+
+
+def test_batches_that_go_to_python_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)]), pa.array([batch.nbytes])], ["n", "size"])
+
+    long_texts = spark.range(0, 4000, 1, 1).select(F.expr("repeat('word ', 1000)").alias("text"))
+    seen = keep(long_texts.mapInArrow(sizes, "n bigint, size bigint"), "sizes").collect()
+    assert sum(r["n"] for r in seen) == 4000 and max(r["size"] for r in seen) < 3 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_word_vectors_do_not_depend_on_batches(spark):
+    docs = table(spark, DATA, "documents")
+    words, vectors = quality.word_vectors(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64k")
+    try:
+        again = quality.word_vectors(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert np.array_equal(words.words, again[0].words) and np.array_equal(vectors, again[1])
