@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from corvane.operators import joins
+from corvane.operators import cluster, joins
 from corvane.plans import queries as core
 
 
@@ -51,3 +52,21 @@ def test_name_overlap_reads_the_larger_side_once(spark, monkeypatch):
     joined = joins.name_overlap(left, "own", right, "id")
     assert "MapInArrow" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(short.collect()) == sorted(joined.collect())
+
+
+@pytest.mark.parametrize("kept", [2, 1_000_000])
+@pytest.mark.parametrize("name", ["tfidf", "cosine", "semantic_cluster"])
+def test_vectors_with_rare_terms_apart(spark, tmp_path, monkeypatch, name, kept):
+    """The same rows whether all terms go to the executors or two at most, the rest by joins."""
+    monkeypatch.setattr(cluster, "BROADCAST_TERMS", kept)
+    monkeypatch.setattr(cluster, "WORKER_TERMS", kept)
+    docs = f"SELECT i AS doc_id, {WORDS} AS text, CASE WHEN i % 7 = 3 THEN 'de' ELSE 'en' END AS lang, 's' || i % 3 AS source, i % 11 AS n_chars FROM range(400) t(i) UNION ALL SELECT 70, NULL, 'en', 's', 0"
+    assert same_as_sql(spark, tmp_path, name, documents=docs)
+
+
+def test_tfidf_has_no_shuffle_of_its_rows(spark, tmp_path):
+    """Rows that share a doc_id are one document, whose vector isn't sorted or shuffled otherwise."""
+    assert same_as_sql(spark, tmp_path, "tfidf", documents=f"SELECT i // 2 AS doc_id, {WORDS} AS text, 'en' AS lang FROM range(900) t(i)")
+    docs = spark.createDataFrame([(i, [f"t{i % 5}", "t"]) for i in range(40)], "id long, tokens array<string>")
+    plan = cluster.tfidf(docs, "id", F.col("tokens"), least=8)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
